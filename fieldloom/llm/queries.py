@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality
-from .common import held_out
+from . import huffman, language, quality
+from .common import held_out, scratch_path
 from .decontaminate import benchmark_hits
 from .jaccard_join import similar_documents
 from .packing import packed
@@ -24,6 +24,11 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = huffman.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), scratch_path(spark, "shards"))
+    return huffman.read_ids(spark, path)
+
+
 def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = held_out(F.col("doc_id"), 3, 1)
@@ -51,7 +56,7 @@ def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op4_quality_ranking, op6_decontamination, op8_packing, op9_token_counts, op10_language_spans)}
+    return {f.__name__: f for f in (op1_jaccard_join, op3_huffman_ids, op4_quality_ranking, op6_decontamination, op8_packing, op9_token_counts, op10_language_spans)}
 
 
 OP1_SQL = r"""
@@ -87,7 +92,7 @@ WITH d AS (
   SELECT doc_id, n, start, array_to_string(w[start:start + n - 1], ' ') AS window
   FROM d, (SELECT DISTINCT n FROM windows) s, LATERAL (SELECT unnest(range(1, greatest(len(w) - n + 2, 1))) AS start)
 ), found AS (SELECT doc_id, item_id, start, places.n AS n FROM places JOIN windows ON windows.window = places.window AND windows.n = places.n
-), hit AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(start, start + n)) AS at FROM found) GROUP BY doc_id
+), hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(start, start + n)) AS pos FROM found) GROUP BY doc_id
 ), items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id
 )

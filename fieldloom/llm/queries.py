@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import huffman, language, quality
+from . import html_blocks, huffman, language, quality
 from .common import held_out, scratch_path
 from .decontaminate import benchmark_hits
+from .hamming import nearest_codes
 from .jaccard_join import similar_documents
+from .maxent import model_scores
 from .packing import packed
 from .token_counts import token_counts
 
@@ -24,6 +26,11 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op2_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(F.col("doc_id"), 7, 2)
+    return model_scores(table(spark, sf_dir, "documents"), out).withColumn("held_out", out)
+
+
 def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = huffman.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), scratch_path(spark, "shards"))
     return huffman.read_ids(spark, path)
@@ -36,10 +43,19 @@ def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extracted(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_codes(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
@@ -56,7 +72,7 @@ def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op3_huffman_ids, op4_quality_ranking, op6_decontamination, op8_packing, op9_token_counts, op10_language_spans)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_maxent_scores, op3_huffman_ids, op4_quality_ranking, op5_html_blocks, op6_decontamination, op7_hamming_search, op8_packing, op9_token_counts, op10_language_spans)}
 
 
 OP1_SQL = r"""
@@ -101,5 +117,15 @@ FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id =
 """
 
 
+OP7_SQL = """
+WITH codes AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x > 0 AND NOT isnan(x)) AS bits FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64),
+pairs AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS vec_id, list_sum(list_transform(range(1, 65), lambda i: (q.bits[i] <> r.bits[i])::BIGINT))::BIGINT AS distance
+  FROM codes q JOIN codes r ON q.vec_id % 100 = 0 AND r.vec_id <> q.vec_id
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": OP1_SQL, "op6_decontamination": OP6_SQL}
+    return {"op1_jaccard_join": OP1_SQL, "op6_decontamination": OP6_SQL, "op7_hamming_search": OP7_SQL}

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.plans import values_suite
+from fieldloom.plans import stats_suite, values_suite
 
-MODULES = (values_suite,)
+MODULES = (values_suite, stats_suite)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

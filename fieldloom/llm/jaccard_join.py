@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, U64, fixed_rows, group_bounds, grouped, hash_words, matrix_of, mix, signed, small_batches, steps, stored, text_bytes, words_of
+from .rows import mark_of, possible
 
 SAMPLES = 64
 BRANCH = 3.0
@@ -284,11 +285,11 @@ def components(edges: DataFrame, one: str = "node", two: str = "other") -> DataF
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
-    """One row for each row of docs: id, ``class_id``, ``n_links``, ``set_key`` (of the shingle set; null where empty)."""
+    """One row for each row of docs: id, ``class_id``, ``n_links``; the hash ``mark`` of its text and ``class_key``, null where it has no words."""
     spark = docs.sparkSession
     small_batches(spark)
     runs = runs_for(recall)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), mark_of(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
     sketched = stored(rows.mapInArrow(_sketch, "id long, mark long, node long, twin long, n long, samples binary"), "sketches")
     nodes = stored(
         sketched.where("node is not null").groupBy("node", "twin").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.max("n").alias("n"), F.min(F.struct("id", "mark")).alias("one"), F.min("samples").alias("samples")).select("node", "copies", "least", "n", F.col("one.id").alias("id"), F.col("one.mark").alias("mark"), "samples"),
@@ -326,16 +327,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         "alike",
     )
     wanted = stored(alike.select("id", "mark").distinct(), "wanted")
-    texts = rows.join(wanted, (rows.id.eqNullSafe(wanted.id)) & (rows.mark == wanted.mark), "left_semi").dropDuplicates(["id", "mark"])
-    full = alike.join(texts.select(F.col("id").alias("i"), F.col("mark").alias("m"), "text"), F.col("i").eqNullSafe(F.col("id")) & (F.col("m") == F.col("mark")))
+    # few texts are shuffled: an inner join, as the optimiser would move a semi-join below the bitmap
+    texts, _ = possible(rows, wanted, ["id", "mark"])
+    texts = texts.select(F.col("id").alias("i"), F.col("mark").alias("m"), "text")
+    full = alike.join(texts, F.col("i").eqNullSafe(F.col("id")) & (F.col("m") == F.col("mark")))
     linked = stored(full.select(*tile, "side", "node", "copies", "leaves", "text").repartition(*tile).sortWithinPartitions(*tile).mapInArrow(_verify(threshold), "node long, links long, other long"), "links")
     roots = components(linked)
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.select("node", "copies", "least").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = stored(known, "known")
     classes = known.groupBy("root").agg(F.min("least").alias("class_id"))
-    known = stored(known.join(classes, "root").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
-    return sketched.select("id", "node").join(known, "node", "left").select(F.col("id").alias(id_col), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("node").alias("set_key"))
+    known = stored(known.join(classes, "root").select("node", F.col("root").alias("class_key"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    return sketched.select("id", "mark", "node").join(known, "node", "left").select(F.col("id").alias(id_col), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "mark", "class_key")
 
 
 def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

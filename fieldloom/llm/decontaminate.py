@@ -24,6 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+from .rows import mark_of
+
 WIDTH = 10
 BROADCAST_WORDS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,23 +45,21 @@ def windows_of(items: DataFrame, id_col: str, text_col: str, width: int) -> Data
     return words.withColumn("at", F.explode(at)).select("item", F.slice("w", F.col("at"), width).alias("window")).distinct()
 
 
-def benchmark_hits(
+def hits(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, broadcast_words: int = BROADCAST_WORDS
 ) -> DataFrame:
-    """What each row of docs shares with the benchmark; the columns are described above."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
-    words = rows.select("id", "mark", words_of(F.col("text")).alias("w"))
+    """(id, mark, n_hit, items) of the documents that hold a window; the mark is a hash of the text."""
+    words = docs.select(F.col(id_col).alias("id"), mark_of(F.col(text_col)).alias("mark"), words_of(F.col(text_col)).alias("w"))
     windows = windows_of(items, item_id_col, item_text_col, width)
     window_words = windows.select(F.explode("window").alias("word")).distinct()
-    small = items.select(F.sum(F.size(words_of(F.col(item_text_col)))).alias("n")).first()["n"] or 0
-    small = small <= broadcast_words
+    small = (items.select(F.sum(F.size(words_of(F.col(item_text_col)))).alias("n")).first()["n"] or 0) <= broadcast_words
     sized = F.broadcast if small else (lambda df: df)
 
     counts = words.select(F.explode("w").alias("word")).join(sized(window_words), "word", "left_semi").groupBy("word").agg(F.count("*").alias("c"))
-    counts = window_words.join(counts, "word", "left").select("word", F.coalesce("c", F.lit(0)).alias("c"))
     tokens = windows.select("item", "window", F.posexplode("window").alias("offset", "word")).join(counts, "word")
-    rare = tokens.groupBy("item", "window").agg(F.min(F.struct("c", "word", "offset")).alias("r")).where("r.c > 0")
-    rare = rare.select(F.col("r.word").alias("word"), F.col("r.offset").alias("offset"), "item", "window")
+    full = tokens.groupBy("item", "window").agg(F.min(F.struct("c", "word", "offset")).alias("r"), F.count_distinct("word").alias("seen"))
+    # a window with a word that no document holds has no place to look for
+    rare = stored(full.where(F.col("seen") == F.size(F.array_distinct("window"))).select(F.col("r.word").alias("word"), F.col("r.offset").alias("offset"), "item", "window"), "windows")
 
     if small:
         found = words.select("id", "mark", "w", F.posexplode("w").alias("pos", "word")).join(F.broadcast(rare), "word")
@@ -69,8 +70,8 @@ def benchmark_hits(
     else:
         places = words.select("id", "mark", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word")).join(rare, "word")
         places = places.withColumn("start", F.col("pos") - F.col("offset")).where((F.col("start") >= 0) & (F.col("start") + F.size("window") <= F.col("n")))
-        places = places.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "item", "window")).alias("places"))
-        back = words.withColumnsRenamed({"id": "i", "mark": "m"}).join(places, F.col("i").eqNullSafe(F.col("id")) & F.col("m").eqNullSafe(F.col("mark")))
+        places = places.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "item", "window")).alias("places")).withColumnsRenamed({"id": "i", "mark": "m"})
+        back = words.join(places, F.col("i").eqNullSafe(F.col("id")) & (F.col("m") == F.col("mark")))
         held = F.filter("places", lambda p: F.slice(F.col("w"), p["start"] + 1, F.size(p["window"])) == p["window"])
         found = back.select("id", "mark", F.explode(held).alias("p")).select("id", "mark", F.col("p.item").alias("item"), F.col("p.start").alias("start"), (F.col("p.start") + F.size("p.window")).alias("stop"))
 
@@ -81,11 +82,13 @@ def benchmark_hits(
         lambda a, s: F.struct((a["n"] + F.greatest(s["stop"] - F.greatest(s["start"], a["reach"]), F.lit(0))).alias("n"), F.greatest(a["reach"], s["stop"]).alias("reach")),
         lambda a: a["n"],
     )
-    hits = found.groupBy("id", "mark").agg(covered.alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
-    hits = hits.withColumnsRenamed({"id": "i", "mark": "m"})
-    sized_rows = rows.select("id", "mark", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    items_found = F.coalesce("items", F.array().cast("array<string>"))
-    return sized_rows.join(hits, F.col("i").eqNullSafe(F.col("id")) & F.col("m").eqNullSafe(F.col("mark")), "left").select(
-        F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(items_found).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items_found), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
-    )
+    return found.groupBy("id", "mark").agg(covered.cast("long").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """What each row of docs shares with the benchmark; the columns are described above, further arguments at ``hits``."""
+    found = hits(docs, items, id_col, text_col, **how).withColumnsRenamed({"id": "i", "mark": "m"})
+    rows = docs.select(F.col(id_col).alias("id"), mark_of(F.col(text_col)).alias("mark"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
+    told = rows.join(found, F.col("i").eqNullSafe(F.col("id")) & (F.col("m") == F.col("mark")), "left")
+    n_hit, items_found = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
+    return told.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(items_found).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items_found), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))

@@ -52,7 +52,8 @@ def ks_statistic(df: DataFrame, keys: list[str], value: str, side: str, alias: s
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count_if(F.col(side) == 0).alias("a"), F.count_if(F.col(side) == 1).alias("b"))
     whole = Window.partitionBy(*keys)
     upto = whole.orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
-    gap = F.abs(F.sum("a").over(upto) / F.sum("a").over(whole) - F.sum("b").over(upto) / F.sum("b").over(whole))
+    part = lambda c: F.try_divide(F.sum(c).over(upto), F.sum(c).over(whole))  # noqa: E731 - null, so a gap of 0, if a side is empty
+    gap = F.abs(part("a") - part("b"))
     return counts.withColumn("gap", gap).groupBy(*keys).agg(F.coalesce(F.max("gap"), F.lit(0.0)).alias(alias))
 
 

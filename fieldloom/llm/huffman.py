@@ -26,6 +26,7 @@ import functools
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, spread, stored
+from .common import small_batches, spread, steps, stored, text_bytes
 
 LONGEST = 16
 BLOCK = 1024
@@ -41,7 +42,7 @@ BLOCK = 1024
 SHARD = 1 << 20
 END = 1
 #: Distinct chunks of text whose ids a worker keeps; beyond that it starts anew, which changes no result.
-KEPT = 1_500_000
+KEPT = 1_300_000
 _MAGIC = b"FLH1"
 
 
@@ -166,6 +167,14 @@ def _code(symbols: bytes, per_length: bytes) -> Code:
     return Code(np.frombuffer(symbols, "<u4"), np.frombuffer(per_length, "<u4"))
 
 
+def _base(chunk: str) -> str:
+    """The word that a chunk of letters, perhaps with one full stop or comma, is encoded by; else the chunk."""
+    word = chunk[:-1] if chunk[-1:] in (".", ",") else chunk
+    if not word.isalpha() or not word.lower().isalpha():  # a capital may become a letter and a mark
+        return chunk
+    return word.lower() if word.isascii() else word
+
+
 class Encoder:
     """Ids of texts from the tokenizers library, which sees each distinct chunk between blanks once.
 
@@ -183,8 +192,23 @@ class Encoder:
         if len(alone) != 1 or mark.count(alone[0]) != 2 or self.tokenizer.encode(" \n ", add_special_tokens=False).ids:
             raise ValueError(f"{path}: its tokens hold blanks, or it has no one-token mark")
         self.mark = alone[0]
+        #: One-token ends of words, where the tokenizer folds A-Z and parts words from them.
+        self.plain: dict[str, int] = {}
+        for end in ".,":
+            word, dot, both = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("then", end, f"Then{end}"))
+            if len(dot) == 1 and both == word + dot:
+                self.plain[end] = dot[0]
+        #: Which ids end a pre-token, for models that mark it; and whether small Latin letters pass to the model as they are.
+        self.suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.final = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items() if self.suffix else ():
+            self.final[i] = token.endswith(self.suffix)
+        self.direct = all(self.tokenizer.encode(w, add_special_tokens=False).ids == [t.id for t in self.tokenizer.model.tokenize(w)] for w in ("then", "qzxthon", "abcdefghijklmnopqrstuvwxyz"))
         self._anew()
 
+    def _encoded(self, texts: list[str]) -> np.ndarray:
+        return np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
     def _anew(self) -> None:
         self.known: dict[str, int] = {"": 0}
         self.flat, self.starts, self.filled = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
@@ -205,13 +229,27 @@ class Encoder:
     def _learn(self, wanted: set[str]) -> None:
         if len(self.known) + len(wanted) > self.kept:
             self._anew()
-        new = [w for w in wanted if w not in self.known]
-        odd = [w for w in new if "\x00" in w]
-        new = [w for w in new if "\x00" not in w]
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            joined = [" \x00 ".join(part[k : k + 500]) + " \x00" for k in range(0, len(part), 500)]
-            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        new = list(wanted.difference(self.known))
+        base = [_base(w) if self.plain else w for w in new]
+        first = [b for b in dict.fromkeys(base) if b not in self.known]
+        letters = [w for w in first if self.suffix and w.isalpha()]
+        plain = [w for w in letters if self.direct and w.isascii() and w.islower()]
+        if plain:  # one pre-token each, and the normaliser leaves it alone: the library's model alone
+            ids = [[t.id for t in self.tokenizer.model.tokenize(w)] for w in plain]
+            self._add(plain, np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+        rest = [w for w in letters if not (self.direct and w.isascii() and w.islower())]
+        for lo in range(0, len(rest), 20_000):
+            part = rest[lo : lo + 20_000]
+            ids = self._encoded([" ".join(part[k : k + 500]) for k in range(0, len(part), 500)])
+            ends = np.flatnonzero(self.final[ids])
+            if len(ends) == len(part):
+                self._add(part, ids, np.diff(np.append(-1, ends)))
+        first = [w for w in first if w not in self.known]
+        odd = [w for w in first if "\x00" in w]
+        first = [w for w in first if "\x00" not in w]
+        for lo in range(0, len(first), 20_000):
+            part = first[lo : lo + 20_000]
+            ids = self._encoded([" \x00 ".join(part[k : k + 500]) + " \x00" for k in range(0, len(part), 500)])
             marks = ids == self.mark
             sizes = np.diff(np.append(-1, np.flatnonzero(marks))) - 1
             if len(sizes) != len(part):
@@ -220,13 +258,25 @@ class Encoder:
         for w in odd:
             ids = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
             self._add([w], ids, np.array([len(ids)]))
+        rest = [(w, b) for w, b in zip(new, base, strict=True) if w != b and w not in self.known]
+        at = np.fromiter((self.known[b] for _, b in rest), np.int64, len(rest))
+        tails = np.fromiter((self.plain.get(w[-1], -1) for w, _ in rest), np.int64, len(rest))
+        sizes = self.sizes[at]
+        ids = self.flat[np.repeat(self.starts[at], sizes) + spread(sizes)]
+        longer = sizes + (tails >= 0)
+        out = np.empty(int(longer.sum()), np.uint32)
+        ends = np.cumsum(longer)
+        last = np.zeros(len(out), bool)
+        last[ends[tails >= 0] - 1] = True
+        out[~last], out[last] = ids, tails[tails >= 0]
+        self._add([w for w, _ in rest], out, longer)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and how many each has."""
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         self._learn(set().union(*cut))
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        at = np.fromiter((self.known[c] for parts in cut for c in parts), np.int64, int(counts.sum()))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
         sizes = self.sizes[at]
         place = np.repeat(self.starts[at], sizes) + spread(sizes)
         ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))]
@@ -247,7 +297,10 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         encoder = _encoder(path)
         width = id_width(path)
         for batch in batches:
-            ids, sizes = encoder.encode(batch.column("text").fill_null("").to_pylist())
+            column = batch.column("text").fill_null("")
+            _, offsets = text_bytes(column)
+            parts = [encoder.encode(column.slice(lo, hi - lo).to_pylist()) for lo, hi in steps(offsets, 2 << 20)]
+            ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
             with_end = np.full(len(ids) + len(sizes), end, f"<u{width}")
             ends = np.cumsum(sizes + 1)
             keep = np.ones(len(with_end), bool)

@@ -18,7 +18,7 @@ from fieldloom.llm.jaccard_join import similar_documents
 from fieldloom.llm.packing import packed
 from fieldloom.llm.rows import without
 
-#: A text stays if this share of its letters is in one learned language.
+#: A text stays if this share of its letters, unknown ones included, is in one learned language.
 LEAST_SHARE = 0.3
 
 

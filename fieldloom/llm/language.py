@@ -3,16 +3,19 @@
 A word is a run of letters (and the marks on them).  Its script, by fixed code point ranges, narrows
 the candidates to the languages that use the script; hashed character trigrams score the word
 under each candidate; Viterbi with a penalty for each switch then labels every word, so a text of
-several languages falls into spans.  The predicted language is the one with the most letters, ties to
-the first in order of name; the score is its share of the letters.
+several languages falls into spans.  One more label, ``und``, stands for no learned language: it scores
+``MARGIN`` a trigram below what a typical trigram of the script's languages scores, so gibberish and unlearned
+languages fall to it, as do words in a script that no learned language uses.  The predicted language is the
+learned one with the most letters, ties to the first in order of name; the score is its share of all letters,
+unknown ones included.
 
 The model counts trigrams of at most about ``sample`` texts of each language (chosen by a hash of the id);
 prediction covers whole texts of all rows in one pass without a shuffle.
 
 Rows of the result, one for each input row: id, ``lang_pred``, ``score``, ``spans`` (array of start, stop, lang:
-code points, in order; letterless stretches belong to no span).  Null, empty and letterless
-texts are ``und`` with score 0 and no spans.  Words in a script that no learned language uses are scored alike for
-all languages.  With nothing to learn from, everything is ``und``.  Ids may repeat or be null.
+code points, in order; letterless stretches belong to no span, unknown words to spans of ``und``).  Null, empty
+and letterless texts are ``und`` with score 0 and no spans; texts of unknown words alone are ``und`` with score 0.
+With nothing to learn from, everything is ``und``.  Ids may repeat or be null.
 Rows of null language are not learned from.  Other columns are ignored.
 """
 
@@ -35,6 +38,8 @@ SLOTS = 1 << 16
 PENALTY = 6.0
 #: A language uses a script that has at least this share of its letters.
 USES = 0.01
+#: Log units a trigram that a word may lie below the mean of its language; half the way to an unseen trigram if that is less.
+MARGIN = 3.0
 UNKNOWN = "und"
 _TOP = 0x30000
 
@@ -169,20 +174,22 @@ def viterbi(scores: np.ndarray, ends: np.ndarray, penalty: float) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Log-probabilities of trigram slots by language, and which languages use a script."""
+    """Log-probabilities of trigram slots by language, which languages use a script, and the least score of a known trigram by script."""
 
     names: list[str]
     table: np.ndarray
     uses: np.ndarray
+    floor: np.ndarray
     penalty: float = PENALTY
 
     def scores(self, words: Words) -> np.ndarray:
-        scores = np.zeros((len(words.starts), len(self.names)), np.float32)
+        """Scores of each word under each language and, last, as unknown."""
+        scores = np.zeros((len(words.starts), len(self.names) + 1), np.float32)
         for k in range(len(self.names)):
             if len(words.first):
                 scores[:, k] = np.add.reduceat(self.table[k][words.slots], words.first)
-        scores[~self.uses[words.script]] = -1e6
-        scores[~self.uses[words.script].any(1)] = 0
+        scores[:, :-1][~self.uses[words.script]] = -1e6
+        scores[:, -1] = self.floor[words.script] * words.lengths
         return scores
 
     def label(self, parts: list[tuple[Words, np.ndarray]]) -> np.ndarray:
@@ -232,19 +239,22 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     scripts[lang[kind == 1], slot[kind == 1]] = n[kind == 1]
     table = np.log((grams + 0.1) / (grams.sum(1, keepdims=True) + 0.1 * SLOTS)).astype(np.float32) if names else grams.astype(np.float32)
     uses = (scripts >= USES * np.maximum(scripts.sum(1, keepdims=True), 1)).T
-    return LanguageModel(names, table, uses, penalty)
+    mean = (grams * table).sum(1) / np.maximum(grams.sum(1), 1)
+    least = np.maximum(mean - MARGIN, (mean + table.min(1)) / 2)
+    floor = np.where(uses.any(1), np.where(uses, least, np.inf).min(1, initial=np.inf), 0.0)
+    return LanguageModel(names, table, uses, floor, penalty)
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())]))
 
 
 def _predicted(words: Words, labels: np.ndarray, model: LanguageModel, spans: bool) -> tuple[list[str], np.ndarray, pa.Array | None]:
-    n, k = len(words.ends) - 1, max(1, len(model.names))
+    n, k = len(words.ends) - 1, len(model.names) + 1
     owner = np.repeat(np.arange(n), np.diff(words.ends))
     letters = np.bincount(owner * k + labels, words.letters, n * k).reshape(n, k)
     total = letters.sum(1)
-    best = letters.argmax(1)
-    known = (total > 0) & bool(model.names)
+    best = letters[:, : max(1, k - 1)].argmax(1)
+    known = (letters[np.arange(n), best] > 0) & bool(model.names)
     score = np.where(known, letters[np.arange(n), best] / np.maximum(total, 1), 0.0)
     names = [model.names[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)]
     if not spans:
@@ -256,7 +266,7 @@ def _predicted(words: Words, labels: np.ndarray, model: LanguageModel, spans: bo
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(labels))[: len(head)] - 1
     base = words.offsets[owner[head]]
-    values = pa.StructArray.from_arrays([pa.array(words.starts[head] - base), pa.array(words.starts[tail] + words.lengths[tail] - base), pa.array(np.array(model.names, object)[labels[head]], pa.string())], names=["start", "stop", "lang"])
+    values = pa.StructArray.from_arrays([pa.array(words.starts[head] - base), pa.array(words.starts[tail] + words.lengths[tail] - base), pa.array(np.array([*model.names, UNKNOWN], object)[labels[head]], pa.string())], names=["start", "stop", "lang"])
     return names, score, pa.ListArray.from_arrays(pa.array(np.searchsorted(head, words.ends).astype(np.int32)), values)
 
 

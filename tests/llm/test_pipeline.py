@@ -40,6 +40,16 @@ def test_stages(spark, tmp_path):
     assert ids(docs) - ids(corpus_pipeline.decontaminated(spark, docs, d)) == {123}
 
 
+def test_language_stage_rejects_foreign_scripts_and_gibberish(spark, tmp_path):
+    d, texts = corpus(tmp_path, spark)
+    r = random.Random(9)
+    gibberish = " ".join("".join(r.choice("bcdfghjkmpqvwxyz") for _ in range(6)) for _ in range(50))
+    odd = [(900, "漢字" * 40), (901, "привет мир " * 9), (902, gibberish), (903, texts[3])]
+    docs = spark.read.parquet(f"{d}/documents.parquet").unionByName(spark.createDataFrame(odd, "doc_id long, text string"), allowMissingColumns=True)
+    kept = {x["doc_id"] for x in corpus_pipeline.known_language(spark, docs, d).collect()}
+    assert not kept & {900, 901, 902} and {903, *range(90)} <= kept
+
+
 def test_run_and_empty_tables(spark, tmp_path):
     d, _ = corpus(tmp_path / "full", spark)
     found = corpus_pipeline.run(spark, d).collect()

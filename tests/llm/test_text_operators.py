@@ -209,6 +209,21 @@ def test_languages_and_spans(spark):
     assert {r["lang_pred"] for r in language.languages(docs, language.learn(docs.limit(0))).collect()} == {"und"}
 
 
+def test_unknown_scripts_and_gibberish_are_und(spark):
+    r = random.Random(6)
+    word = lambda alphabet: "".join(r.choice(alphabet) for _ in range(r.randint(2, 7)))
+    known = {"aa": ["ba", "lo", "mi", "ten"], "bb": ["zu", "rki", "üs", "ch"]}
+    rows = [(i, " ".join(word(known[k]) for _ in range(40)), k) for i, k in enumerate(list(known) * 60)]
+    odd = ["漢字" * 20, "привет мир " * 9, " ".join(word("bcdfghjklmnpqrstvwxz") for _ in range(50)), "漢字" * 8 + " " + rows[0][1][:16]]
+    docs = spark.createDataFrame(rows + [(1000 + i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string")
+    found = {x["doc_id"]: x for x in language.languages(docs, language.learn(docs.where("doc_id % 4 <> 2"))).collect()}
+    assert all(found[i]["lang_pred"] == k and found[i]["score"] == 1 for i, _, k in rows)
+    assert [found[1000 + i]["lang_pred"] for i in range(3)] == ["und"] * 3 and found[1000]["score"] == 0
+    assert {s["lang"] for s in found[1000]["spans"]} == {"und"}
+    letters = sum(c.isalpha() for c in rows[0][1][:16])
+    assert found[1003]["lang_pred"] == "aa" and found[1003]["score"] == pytest.approx(letters / (16 + letters))
+
+
 def test_viterbi_matches_brute_force():
     from itertools import product
 

@@ -7,11 +7,17 @@ order in which the rules stand below.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fieldloom.functions.values import core_key
 from fieldloom.operators import stack
+from fieldloom.sources.html_tree import parse
 
 #: Rules in the order they are emitted, with their weights.
 WEIGHTS = {
@@ -45,8 +51,41 @@ def _subsequence(short: Column, long: Column) -> Column:
     return F.aggregate(long, F.lit(1), lambda at, x: F.when((at <= F.size(short)) & (F.try_element_at(short, at) == x), at + 1).otherwise(at)) > F.size(short)
 
 
+def page_strings(html: str | None) -> list[str]:
+    """Every scalar of the page's JSON scripts as normal text, each once, sorted."""
+    found: set[str] = set()
+    for node in parse(html).walk():
+        if node.tag == "script" and "json" in node.attrs.get("type", "").lower():
+            try:
+                held = [json.loads(node.raw_text())]
+            except (ValueError, RecursionError):
+                continue
+            while held:
+                x = held.pop()
+                if isinstance(x, dict | list):
+                    held += x.values() if isinstance(x, dict) else x
+                elif x is not None:
+                    found.add(" ".join(str(x).split()))
+    return sorted(found)
+
+
+def json_strings(pages: DataFrame, keys: list[str], html_col: str = "html") -> DataFrame:
+    """(keys, text) of each string in the JSON scripts of the pages: the blobs of ``edits``."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keys).schema.fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(*key, text) for key, html in zip(batch[keys].itertuples(index=False, name=None), batch[html_col], strict=True) for text in page_strings(html)]
+            yield pd.DataFrame(rows, columns=[*keys, "text"])
+
+    return pages.select(*keys, html_col).mapInPandas(run, f"{kinds}, text string")
+
+
 def edits(old: DataFrame, new: DataFrame, keys: list[str], blobs: DataFrame | None = None) -> DataFrame:
-    """(keys, kind, n, weight, place): what changed, worst first; ``blobs``: keys, text of each string in the new page's JSON."""
+    """(keys, kind, n, weight, place): what changed, worst first; ``blobs``: keys, text of each string in the new page's JSON.
+
+    Lost texts are looked up in the blobs by core key: "$105.24" in the markup is "105.24" in JSON.
+    """
     shared = anchors(old, new, keys)
     c = F.col
     both = shared.groupBy(*keys).agg(
@@ -63,7 +102,7 @@ def edits(old: DataFrame, new: DataFrame, keys: list[str], blobs: DataFrame | No
     texts = lambda df: leaves(df).select(*keys, "text").distinct()
     lost = texts(old).join(texts(new), [*keys, "text"], "left_anti")
     old_texts = texts(old).groupBy(*keys).agg(F.count("*").alias("texts"))
-    hidden = lost.join(blobs.select(*keys, "text").distinct(), [*keys, "text"], "left_semi").groupBy(*keys).agg(F.count("*").alias("hidden")) if blobs is not None else None
+    hidden = lost.withColumn("core", core_key(F.col("text"))).join(blobs.select(*keys, core_key(F.col("text")).alias("core")).distinct(), [*keys, "core"], "left_semi").groupBy(*keys).agg(F.count("*").alias("hidden")) if blobs is not None else None
     lost_n = lost.groupBy(*keys).agg(F.count("*").alias("lost"))
     fresh = leaves(new).select(*keys, "text", F.explode("classes").alias("token")).join(texts(old), [*keys, "text"], "left_anti").select(*keys, "token").distinct()
     decoys = census.where((c("old_n") >= 2) & (c("new_n") >= 1.6 * c("old_n"))).join(fresh, [*keys, "token"], "left_semi").groupBy(*keys).agg(F.sum(c("new_n") - c("old_n")).alias("decoys"))

@@ -175,7 +175,8 @@ def heal(cases: DataFrame, as_of: str = "2030-01-01", max_cycles: int = MAX_CYCL
     fired = before.where("fired").select(*KEY).distinct()
     active = stored(cases.join(fired, KEY))
     nodes = lambda c: dom.dom_nodes(active.select(*KEY, F.col(c).alias("html")), KEY)
-    classes = stored(diff.primary(diff.edits(stored(nodes("old_html")), stored(nodes("new_html")), KEY), KEY))
+    blobs = stored(diff.json_strings(active, KEY, "new_html"))
+    classes = stored(diff.primary(diff.edits(stored(nodes("old_html")), stored(nodes("new_html")), KEY, blobs), KEY))
     shape = T.StructType([T.StructField(k, t()) for k, t in (("case_id", T.StringType), ("status", T.StringType), ("cycles", T.IntegerType), ("f1_after", T.DoubleType), ("f1_old", T.DoubleType), ("fields", lambda: T.ArrayType(T.StringType())), ("new_spec", T.StringType))])
     done = spark.createDataFrame([], shape)
     avoid = spark.createDataFrame([], "case_id string, field string, strategy_class string")

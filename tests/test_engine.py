@@ -98,6 +98,13 @@ def test_healing(spark):
             assert json.loads(r["spec"])["version"] == 2
 
 
+def test_content_moved_into_json_is_deferred(spark):
+    made = [(s, sites.page(s), mutators.mutate(sites.page(s), ("content_deferred",), 2, 3)[0], json.dumps(x)) for s, x in sites.SPECS.items()]
+    cases = spark.createDataFrame([(s, s, *rest) for s, *rest in made], "case_id string, site string, old_html string, new_html string, spec string")
+    found = {r["site"]: r["diff_class"] for r in heal.heal(cases.coalesce(1), max_cycles=0).collect()}
+    assert found["shop"] == found["jobs"] == "CONTENT_DEFERRED" != found["news"]
+
+
 def test_store(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}")
     store.save_specs(spark.createDataFrame([("s", 1, None, "me", "", "{}"), ("s", 2, 1, "me", "", '{"v": 2}')], "site string, version int, parent int, created_by string, note string, spec string"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.operators import candidates, health, heal, memory, mutators, patch, stats
-from fieldloom.plans import sites
+from fieldloom.plans import heal_suite, sites
 from fieldloom.sources import extract
 from fieldloom.sources.html_tree import parse
 from fieldloom.sources.store import Store
@@ -98,6 +98,18 @@ def test_healing(spark):
             assert json.loads(r["spec"])["version"] == 2
 
 
+def test_q_heal_runs_all_recipes_and_cycles(spark, monkeypatch):
+    asked = {}
+
+    def heal_of(cases, **options):
+        asked.update(options, cases={r["case_id"] for r in cases.select("case_id").collect()})
+        return spark.createDataFrame([], "case_id string, status string, cycles int, diff_class string, f1_before double, f1_after double")
+
+    monkeypatch.setattr(heal, "heal", heal_of)
+    heal_suite.q_heal(spark, "")
+    assert {c.split("/")[1] for c in asked["cases"]} == set(mutators.RECIPES) and asked.get("max_cycles", heal.MAX_CYCLES) == 4
+
+
 def test_content_moved_into_json_is_deferred(spark):
     made = [(s, sites.page(s), mutators.mutate(sites.page(s), ("content_deferred",), 2, 3)[0], json.dumps(x)) for s, x in sites.SPECS.items()]
     cases = spark.createDataFrame([(s, s, *rest) for s, *rest in made], "case_id string, site string, old_html string, new_html string, spec string")

@@ -20,9 +20,11 @@ _scratch: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: the session's spark.checkpoint.dir; a new one of our own where that is unset and all runs in one process."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not (spark.sparkContext.master or "").split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share: operators store tables there")
         known = "file://" + tempfile.mkdtemp(prefix="fieldloom-")
         spark.sparkContext.setCheckpointDir(known)
     return known
@@ -56,13 +58,27 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``stored`` that nothing will read again."""
+    for table in tables:
+        _delete(table.sparkSession, table.scratch)
+        _scratch.remove((table.sparkSession, table.scratch))
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of bounded bytes, so that long texts cannot fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Arrow batches of bounded rows and bytes, so that long texts cannot fill a Python worker.
+
+    Frames are lazy, so this setting stays with the session; values that are lower already stay.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 4096), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        now = int("".join(c for c in spark.conf.get(key) if c in "-0123456789") or 0)
+        if not 0 < now <= most or not spark.conf.get(key).isdigit():
+            spark.conf.set(key, str(most))
 
 
 def held_out(doc_id, parts: int, part: int):
@@ -138,16 +154,18 @@ def words_of(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -
     return starts, lengths, np.searchsorted(starts, offsets)
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    if not len(starts):
-        return np.zeros(0, U64)
-    first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    inside = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
-    values = data[inside + np.repeat(starts, lengths)].astype(U64)
-    values += U64(1)
-    values *= _power_table(int(lengths.max()) + 1)[inside]
-    return mix(np.add.reduceat(values, first) + lengths.astype(U64) * U64(0xD6E8FEB86659FD93))
+def hash_words(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int = 1 << 19) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; about ``most`` bytes, or one word, are in work at a time."""
+    out = np.empty(len(starts), U64)
+    ends = np.concatenate(([0], np.cumsum(lengths)))
+    for lo, hi in steps(ends, most):
+        first, size = ends[lo:hi] - ends[lo], lengths[lo:hi]
+        inside = np.arange(ends[hi] - ends[lo]) - np.repeat(first, size)
+        values = data[inside + np.repeat(starts[lo:hi], size)].astype(U64)
+        values += U64(1)
+        values *= _power_table(int(size.max()) + 1)[inside]
+        out[lo:hi] = mix(np.add.reduceat(values, first) + size.astype(U64) * U64(0xD6E8FEB86659FD93))
+    return out
 
 
 def spread(counts: np.ndarray) -> np.ndarray:

@@ -2,19 +2,23 @@
 
 Each distinct shingle set becomes one node with 64 min-wise samples of its shingles.  A run splits
 the nodes by sampled shared tokens: under a path, a node picks each of its samples with probability
-BRANCH / (threshold * 64), and each pick names a child bucket.  Buckets of few nodes, those that
-splitting no longer thins out, and those at the last depth are leaves; all others split again.  Runs
-repeat until the miss rate of the branching process is below 1 - recall.  Leaves are compared in
-full: samples first, then the shingle sets themselves.  A pair counts in the smallest leaf that both
-nodes share, so links add up without listing pairs; leaves of many nodes are cut into tiles of
-chunk pairs, so that no task holds a whole hot group.
+BRANCH / (threshold * 64), and each pick names a child bucket.  Buckets of few nodes and those at the
+last depth are leaves, and so is a bucket whose nodes are so alike that its children would need more
+comparisons than it does itself: a group of near copies is a leaf at once.  All others split again.
+How alike the nodes of a bucket are comes from sums of signs of their samples, gathered with its
+size (the square of such a sum estimates the number of agreeing pairs).  Runs repeat until the miss
+rate of the branching process is below 1 - recall.  Leaves are compared in full: samples first, then
+the shingle sets themselves.  A pair counts in the smallest leaf that both nodes share, so links add
+up without listing pairs; leaves of many nodes are cut into tiles of chunk pairs, so that no task
+holds a whole hot group.
 
 Rows of the result, one for each row of the input (key column, ``class_id``, ``n_links``):
 ``class_id`` is the smallest id in the connected component, ``n_links`` the number of other rows
 whose shingle set has at least the wanted Jaccard similarity.  Rows without words (null, empty or
 blank text) have no shingles: their class is their own id and they have no links.  A text of one to
 four words is one shingle.  Repeated rows and equal texts are links of each other.  Ids may repeat
-or be null (``class_id`` is null only where all ids of a class are).  Other columns are ignored.
+or be null (``class_id`` is null only where all ids of a class are) and be of any type with an order.
+Texts of any length are taken whole, a few hundred kilobytes at a time, and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,16 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, fixed_rows, group_bounds, grouped, hash_words, matrix_of, mix, signed, small_batches, steps, stored, text_bytes, words_of
+from .common import LOWER, U64, discard, fixed_rows, group_bounds, grouped, hash_words, matrix_of, mix, signed, small_batches, steps, stored, text_bytes, words_of
 from .rows import mark_of, possible
 
 SAMPLES = 64
 BRANCH = 3.0
 LEAF = 48
-CHUNK = 384
+CHUNK = 320
+#: Samples whose signs tell how alike the nodes of a bucket are.
+SIGNS = 16
+#: Bytes of text that are sketched at a time.
+SKETCH_BYTES = 1 << 19
 #: Shingles of all nodes in a chunk, about.
 CHUNK_SHINGLES = 1_500_000
 DEPTH = 5
@@ -98,7 +106,7 @@ def samples_of(s: np.ndarray, filled: np.ndarray) -> np.ndarray:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
-        for lo, hi in steps(offsets):
+        for lo, hi in steps(offsets, SKETCH_BYTES):
             s, rows = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             n = np.diff(rows)
             has = n > 0
@@ -122,6 +130,12 @@ def _children(path: np.ndarray, samples: np.ndarray, threshold: float) -> tuple[
     return rows, picked[rows, places]
 
 
+def _signs(samples: np.ndarray) -> np.ndarray:
+    """A sign bit of each of the first samples."""
+    bits = mix(samples[:, :SIGNS].astype(U64) + _PLACES[:SIGNS] + U64(0x51)) & U64(1)
+    return (bits << np.arange(SIGNS, dtype=U64)).sum(1).astype(np.int32)
+
+
 def _split(threshold: float, runs: int):
     """First level where runs is given; else below the path in column ``bucket``."""
 
@@ -129,16 +143,23 @@ def _split(threshold: float, runs: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
-                node, samples = part.column("node").to_numpy(), matrix_of(part.column("samples"), np.uint32, SAMPLES)
+                node, n, samples = part.column("node").to_numpy(), part.column("n").to_numpy(), matrix_of(part.column("samples"), np.uint32, SAMPLES)
+                signs = _signs(samples)
                 paths = [np.full(len(node), mix(np.array([r + 1], U64))[0]) for r in range(runs)] or [part.column("bucket").to_numpy().astype(np.int64).view(U64)]
-                above = np.full(len(node), np.iinfo(np.int64).max) if runs else part.column("c").to_numpy()
                 for path in paths:
                     rows, bucket = _children(path, samples, threshold)
-                    yield pa.RecordBatch.from_arrays([pa.array(node[rows]), signed(bucket), pa.array(part.column("n").to_numpy()[rows]), pa.array(above[rows])], ["node", "bucket", "n", "above"])
+                    yield pa.RecordBatch.from_arrays([pa.array(node[rows]), signed(bucket), pa.array(n[rows]), pa.array(signs[rows])], ["node", "bucket", "n", "signs"])
 
     return split
 
 
+def likeness(signs: Column, count: Column) -> Column:
+    """The mean share of samples in which two rows of a group agree, from the signs: an aggregate."""
+    sums = [F.sum(F.shiftright(signs, k).bitwiseAND(1) * 2 - 1).cast("double") for k in range(SIGNS)]
+    squares = sum((x * x for x in sums[1:]), sums[0] * sums[0]) / SIGNS
+    return (squares - count) / F.greatest(count * (count - 1), F.lit(1))
+
+
 def _tile_pairs(sides: np.ndarray, self_tile: bool) -> np.ndarray:
     """Which pairs (row, column) of a tile's members are its own: across the two chunks, or within the one."""
     upper = np.triu(np.ones((len(sides), len(sides)), bool), 1)
@@ -272,16 +293,19 @@ def components(edges: DataFrame, one: str = "node", two: str = "other") -> DataF
     when no label changes.  Both joins read stored tables, so that a hot label's rows can be split.
     """
     both = stored(edges.select(F.col(one).alias("a"), F.col(two).alias("b")).where("a <> b").unionByName(edges.select(F.col(two).alias("a"), F.col(one).alias("b")).where("a <> b")).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "labels")
+    held = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "labels")
     while True:
+        labels = held.select("node", "root")
         heard = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("root").alias("heard"))
         step = stored(labels.join(heard, "node").select("node", F.col("root").alias("old"), F.least("root", "heard").alias("root")), "labels")
         ahead = step.select(F.col("node").alias("root"), F.col("root").alias("ahead"))
         new = stored(step.join(ahead, "root", "left").select("node", "old", F.least("root", F.coalesce("ahead", "root")).alias("root")), "labels")
         changed = new.where("root <> old").limit(1).count()
-        labels = new.select("node", "root")
+        discard(held, step)
+        held = new
         if not changed:
-            return labels
+            discard(both)
+            return held.select("node", "root")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
@@ -289,31 +313,36 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     small_batches(spark)
     runs = runs_for(recall)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), mark_of(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
-    sketched = stored(rows.mapInArrow(_sketch, "id long, mark long, node long, twin long, n long, samples binary"), "sketches")
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), mark_of(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
+    sketched = stored(rows.mapInArrow(_sketch, f"id {kind}, mark long, node long, twin long, n long, samples binary"), "sketches")
     nodes = stored(
         sketched.where("node is not null").groupBy("node", "twin").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.max("n").alias("n"), F.min(F.struct("id", "mark")).alias("one"), F.min("samples").alias("samples")).select("node", "copies", "least", "n", F.col("one.id").alias("id"), F.col("one.mark").alias("mark"), "samples"),
         "nodes",
     )
-    level = nodes.select("node", "n", "samples").mapInArrow(_split(threshold, runs), "node long, bucket long, n long, above long")
-    leaves = None
+    shape = "node long, bucket long, n long, signs int"
+    level = nodes.select("node", "n", "samples").mapInArrow(_split(threshold, runs), shape)
+    leaves, kept = None, []
     for depth in range(1, DEPTH + 1):
         level = stored(level, "level")
-        shared = stored(level.groupBy("bucket").agg(F.count("*").alias("c"), F.sum("n").alias("weight")).where("c > 1"), "buckets")
-        members = level.join(shared, "bucket")
-        done = F.lit(depth == DEPTH) | (F.col("c") <= LEAF) | (F.col("c") * 2 > F.col("above"))
-        members = stored(members.select("node", "bucket", "c", "weight", done.alias("leaf")), "members")
+        count = F.count("*")
+        shared = stored(level.groupBy("bucket").agg(count.alias("c"), F.sum("n").alias("weight"), likeness(F.col("signs"), count).alias("like")).where("c > 1"), "buckets")
+        # the children of a bucket need BRANCH / threshold * like of its own comparisons
+        done = F.lit(depth == DEPTH) | (F.col("c") <= LEAF) | (F.col("like") * BRANCH >= threshold)
+        members = stored(level.select("node", "bucket").join(shared.select("bucket", "c", "weight", done.alias("leaf")), "bucket"), "members")
+        discard(level, shared)
+        kept.append(members)
         found = members.where("leaf").select("node", "bucket", "c", "weight")
         leaves = found if leaves is None else leaves.unionByName(found)
-        rest = members.where("not leaf").select("node", "bucket", "c")
+        rest = members.where("not leaf").select("node", "bucket")
         if depth == DEPTH or rest.isEmpty():
             break
-        level = rest.join(nodes.select("node", "n", "samples"), "node").mapInArrow(_split(threshold, 0), "node long, bucket long, n long, above long")
+        level = rest.join(nodes.select("node", "n", "samples"), "node").mapInArrow(_split(threshold, 0), shape)
     chunks = F.greatest(F.ceil(F.col("c") / CHUNK), F.ceil(F.col("weight") / CHUNK_SHINGLES), F.lit(1)).cast("long")
     lists = leaves.groupBy("node").agg(F.collect_set(F.struct("bucket", chunks.alias("k"))).alias("at"))
     placed = (
         nodes.select("node", "copies", "id", "mark", "samples")
-        .mapInArrow(_low_bytes, "node long, copies long, id long, mark long, marks binary")
+        .mapInArrow(_low_bytes, f"node long, copies long, id {kind}, mark long, marks binary")
         .join(lists, "node")
         .withColumn("leaves", F.col("at.bucket"))
         .withColumn("one", F.explode("at"))
@@ -323,22 +352,26 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     tile = ["leaf", "low", "high"]
     alike = stored(
-        placed.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(_alike(round(SAMPLES * (threshold - 0.2))), "leaf long, low long, high long, side long, node long, copies long, id long, mark long, leaves array<long>"),
+        placed.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(_alike(round(SAMPLES * (threshold - 0.2))), f"leaf long, low long, high long, side long, node long, copies long, id {kind}, mark long, leaves array<long>"),
         "alike",
     )
+    discard(*kept)
     wanted = stored(alike.select("id", "mark").distinct(), "wanted")
     # few texts are shuffled: an inner join, as the optimiser would move a semi-join below the bitmap
     texts, _ = possible(rows, wanted, ["id", "mark"])
     texts = texts.select(F.col("id").alias("i"), F.col("mark").alias("m"), "text")
     full = alike.join(texts, F.col("i").eqNullSafe(F.col("id")) & (F.col("m") == F.col("mark")))
     linked = stored(full.select(*tile, "side", "node", "copies", "leaves", "text").repartition(*tile).sortWithinPartitions(*tile).mapInArrow(_verify(threshold), "node long, links long, other long"), "links")
+    discard(alike, wanted)
     roots = components(linked)
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.select("node", "copies", "least").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = stored(known, "known")
+    discard(linked, nodes)
     classes = known.groupBy("root").agg(F.min("least").alias("class_id"))
-    known = stored(known.join(classes, "root").select("node", F.col("root").alias("class_key"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
-    return sketched.select("id", "mark", "node").join(known, "node", "left").select(F.col("id").alias(id_col), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "mark", "class_key")
+    classed = stored(known.join(classes, "root").select("node", F.col("root").alias("class_key"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    discard(known)
+    return sketched.select("id", "mark", "node").join(classed, "node", "left").select(F.col("id").alias(id_col), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "mark", "class_key")
 
 
 def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

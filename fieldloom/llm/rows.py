@@ -38,7 +38,7 @@ def without(docs: DataFrame, touched: DataFrame, id_col: str, text_col: str) ->
     columns = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(columns))))
     id_at, text_at = f"c{columns.index(id_col)}", f"c{columns.index(text_col)}"
-    rows = plain.withColumns({"id": F.col(id_at).cast("long"), "mark": mark_of(F.col(text_at))})
+    rows = plain.withColumns({"id": F.col(id_at), "mark": mark_of(F.col(text_at))})
     maybe, clear = possible(rows, touched, ["id", "mark"])
     told = touched.select(F.col("id").alias("i"), F.col("mark").alias("m"), "drop")
     maybe = maybe.join(told, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left")

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from fieldloom.llm import jaccard_join, language, packing, quality
 from fieldloom.llm.common import text_bytes
@@ -82,6 +83,76 @@ def test_similar_documents_of_an_empty_table(spark):
     assert similar_documents(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_similar_documents_of_text_ids(spark):
+    rows = [("b", "a b c d e f"), ("a", "A b c d e f"), ("c", "x y"), (None, None)]
+    found = similar_documents(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in found} == {("b", "a", 1), ("a", "a", 1), ("c", "c", 0), (None, None, 0)}
+
+
+def near_copies(n, width, edits, seed):
+    """Copies of one text, each with its own changed words, and their exact links by a product of 0/1 matrices."""
+    r = np.random.default_rng(seed)
+    words = [f"w{k}" for k in r.permutation(width)]
+    texts = []
+    for k in range(n):
+        w = list(words)
+        for at in r.integers(0, width, r.integers(0, edits + 1)):
+            w[at] = f"x{k}y{at}"
+        texts.append(" ".join(w))
+    names, owner, place = {}, [], []
+    for k, t in enumerate(texts):
+        w = t.split()
+        for s in {tuple(w[i : i + 5]) for i in range(width - 4)}:
+            owner.append(k)
+            place.append(names.setdefault(s, len(names)))
+    often = np.flatnonzero(np.bincount(place) > 1)
+    matrix = np.zeros((n, len(names)), np.float32)
+    matrix[owner, place] = 1
+    size, both = matrix.sum(1), matrix[:, often] @ matrix[:, often].T
+    near = both >= 0.8 * (size[:, None] + size[None, :] - both) - 1e-6
+    np.fill_diagonal(near, False)
+    return texts, near
+
+
+def test_a_hot_group_of_near_copies_keeps_its_links(spark):
+    texts, near = near_copies(2500, 110, 4, 3)
+    r = random.Random(5)
+    others = [" ".join(f"o{r.randrange(400)}" for _ in range(30)) for _ in range(500)]
+    found = similar_documents(spark.createDataFrame(list(enumerate(texts + others)), "doc_id long, text string").repartition(4)).collect()
+    links = {x["doc_id"]: x["n_links"] for x in found}
+    wanted = near.sum(1)
+    assert sum(links[k] for k in range(2500)) >= 0.9999 * wanted.sum() and all(links[k] <= wanted[k] for k in range(2500))
+    reach, todo = {0}, [0]
+    while todo:
+        new = set(np.flatnonzero(near[todo.pop()]).tolist()) - reach
+        reach |= new
+        todo += new
+    assert {x["doc_id"] for x in found if x["class_id"] == 0} == reach
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    r = random.Random(11)
+    rows = []
+    for k in range(3000):  # 45 shingles a side, of which one changed word takes 5: 40 of 50, just the threshold
+        w = [f"p{k}q{r.randrange(10**6)}" for _ in range(49)]
+        other = list(w)
+        other[r.randrange(5, 44)] = "other"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    found = similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sum(x["n_links"] for x in found) >= 2 * 2997
+
+
+def test_buckets_of_like_nodes_are_leaves(spark):
+    r = np.random.default_rng(1)
+    common = r.integers(0, 1 << 32, 64, dtype=np.uint64).astype(np.uint32)
+    like = np.where(r.random((600, 64)) < 0.8, common, r.integers(0, 1 << 32, (600, 64), dtype=np.uint64).astype(np.uint32))
+    unlike = r.integers(0, 1 << 32, (600, 64), dtype=np.uint64).astype(np.uint32)
+    rows = [(name, int(s)) for name, m in (("like", like), ("unlike", unlike)) for s in jaccard_join._signs(m)]
+    got = spark.createDataFrame(rows, "name string, signs int").groupBy("name").agg(jaccard_join.likeness(F.col("signs"), F.count("*")).alias("share")).collect()
+    got = {x["name"]: x["share"] for x in got}
+    assert abs(got["like"] - 0.64) < 0.05 and abs(got["unlike"]) < 0.01
+
+
 def test_runs_follow_recall():
     assert jaccard_join.runs_for(0.9999) > jaccard_join.runs_for(0.9) >= 1
 

@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return rows
 with the columns of docs.  ``run`` applies them to the documents table, writing each stage's rows as
 Parquet in the shared folder and reading them again for the next.  Every stage takes empty tables, nulls in any
-column, repeated rows and extra columns of any name.
+column, repeated rows, extra columns of any name and ids of any type with an order; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of the benchmark."""
     found = hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, stored(found.select(F.col("id").cast("long").alias("id"), "mark", F.lit(True).alias("drop")).distinct(), "contaminated"), "doc_id", "text")
+    return without(docs, stored(found.select("id", "mark", F.lit(True).alias("drop")).distinct(), "contaminated"), "doc_id", "text")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

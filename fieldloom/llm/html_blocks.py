@@ -9,11 +9,15 @@ joined by newlines, are the main text.
 The network is trained here, on pages from a seeded generator of layouts whose blocks are known to be article
 or not (menus, headers, footers, sidebars, notices, adverts, forms and reader comments around and
 inside articles of various markup); words are random, so that layout and not vocabulary decides.
-Contents of script, style, head and the like are never blocks, nor are comments.
-
-Rows of the result, one for each input row: its kept columns, ``text`` (empty if none) and ``n_chars`` (code points).  Null,
-empty and blank pages give an empty text.  Unclosed and misnested tags follow the usual implied
-ends; an unclosed comment or script runs to the end.  Keys may repeat or be null; other columns are ignored.
+Contents of script, style, title, textarea, template and frames are never blocks, nor are comments; xmp is text as it
+stands; noscript, svg and math are markup.  Character references are decoded in each run of text by itself.
+
+Rows of the result, one for each input row: its kept columns, ``text`` (empty if none) and ``n_chars`` (code points); kept
+columns of these two names are replaced.  Null, empty and blank pages give an empty text.  Unclosed and
+misnested tags follow the usual implied ends; an unclosed comment or script runs to the end, and from the
+first tag with a quote that never closes quotes no longer hide ``>``.  Time and memory are linear in the
+page, however it is built: long pages are read whole, in vectors of blocks that name their features.
+Repeated pages give repeated rows; keys may repeat or be null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,28 +27,35 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, hash_words, small_batches, words_of
+from .common import LOWER, hash_words, small_batches, steps, text_bytes, words_of
 
 PATH, WORDS = 512, 256
+#: Numbers of the weighed inputs that a run of the network holds at a time.
+CELLS = 1 << 20
 #: Elements that bound a block of text.
-BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul noscript xmp".split())
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is not markup; none of it is text of the page.
-RAW = frozenset("script style title textarea noscript template xmp iframe noembed noframes svg math".split())
+#: Elements whose content is neither markup nor text of the page.
+RAW = frozenset("script style title textarea template iframe noembed noframes".split())
 #: What a start tag closes if it is open, and where the search for it ends.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "body": ({"head"}, {"html"}),
 }
-_MARKUP = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_NAMES = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Comments, declarations and tags; each alternative takes what it has seen and never goes back over it.
+_MARKUP = re.compile(r"<!--(?:.*?-->|.*+)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+_PLAIN = re.compile(r"<!--(?:.*?-->|.*+)|<[!?][^>]*+>|" + _OPEN.pattern, re.S)
+_START = re.compile(r"<(?=[!?/a-zA-Z])")
+_NAMES = re.compile(r"(class|id|role|itemprop)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
 _TOKENS = re.compile(r"[a-z]+")
 
 
@@ -63,76 +74,121 @@ def _tag(name: str, kind: str) -> int:
     return zlib.crc32(f"<{kind}{name}>".encode()) % PATH
 
 
+def markup_of(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """Start, end, whether it ends an element, name and attributes of each piece of markup; the name of comments is empty.
+
+    After an element is sent back by its name, the next piece is its end tag.  Quotes hide ``>`` until one of them turns out never to close;
+    from there on they are plain, so no stretch is searched twice and the time is linear in the page.
+    """
+    at, last, pattern, ends = 0, page.rfind(">"), _MARKUP, {}
+    while True:
+        m = _START.search(page, at)
+        if not m:
+            return
+        at = m.start()
+        if at > last:  # no tag ends any more; a comment without an end takes the rest
+            at = page.find("<!--", at)
+            if at >= 0:
+                yield at, len(page), False, "", ""
+            return
+        m = pattern.match(page, at)
+        if not m and pattern is _MARKUP and page[at + 1] not in "!?" and _OPEN.match(page, at):
+            pattern = _PLAIN
+            m = pattern.match(page, at)
+        if not m:
+            at += 1
+            continue
+        at, name = m.end(), (m[2] or "").lower()
+        skip = yield m.start(), at, bool(m[1]), name, m[3] or ""
+        if skip:  # the content of an element that is not markup: to its end tag, or all the rest
+            if skip not in ends or ends[skip] is not None and ends[skip].start() < at:
+                ends[skip] = re.compile(rf"</{re.escape(skip)}(?=[\s/>])[^>]*+>", re.I).search(page, at)
+            end = ends[skip]
+            stop, at = end.span() if end else (len(page), len(page))
+            yield stop, at, False, "", ""
+
+
 def blocks_of(page: str) -> tuple[list[str], list[tuple[int, ...]], list[tuple[int, int, int]]]:
     """Texts of the leaf blocks; path features; (link characters, depth, raw tags since the last block)."""
     texts: list[str] = []
     paths: list[tuple[int, ...]] = []
     sizes: list[tuple[int, int, int]] = []
     stack: list[tuple[str, tuple[int, ...]]] = []
+    where: dict[str, list[int]] = {}  # places in the stack of each open name
+    bounds: list[str] = []  # open elements that bound blocks
     open_features: dict[int, int] = {}
+    shared: dict[tuple[int, ...], tuple[int, ...]] = {}
     pieces: list[str] = []
-    link, links, tags = 0, 0, 0
+    links, tags = 0, 0
 
     def flush() -> None:
         nonlocal links, tags
         if pieces:
-            text = " ".join(html.unescape("".join(pieces)).split())
+            text = " ".join("".join(pieces).split())
             pieces.clear()
             if text:
-                own = next((t for t, _ in reversed(stack) if t in BLOCKS), "")
+                own = _tag(bounds[-1] if bounds else "", "own ")
+                path = tuple(open_features) if own in open_features else (*open_features, own)
                 texts.append(text)
-                paths.append((*open_features, _tag(own, "own ")))
+                paths.append(shared.setdefault(path, path))
                 sizes.append((min(links, len(text)), len(stack), tags))
                 tags = 0
         links = 0
 
     def pop() -> None:
-        nonlocal link
         name, features = stack.pop()
-        link -= name == "a"
+        where[name].pop()
+        if name in BLOCKS:
+            bounds.pop()
         for f in features:
             open_features[f] -= 1
             if not open_features[f]:
                 del open_features[f]
 
+    def top(names) -> int:
+        return max((where[x][-1] for x in names if where.get(x)), default=-1)
+
     def close(names: set[str], until: set[str]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in until:
-                return
-            if stack[k][0] in names:
-                while len(stack) > k:
-                    pop()
+        least = top(until)
+        while (k := top(names)) > least:
+            while len(stack) > k:
+                pop()
 
-    at = 0
-    while True:
-        m = _MARKUP.search(page, at)
-        run = page[at : m.start()] if m else page[at:]
+    def add(run: str) -> None:
+        nonlocal links
         if run:
             pieces.append(run)
-            if link:
+            if where.get("a"):
                 links += len(run)
-        if not m:
+
+    at, markup, skip = 0, markup_of(page), None
+    while True:
+        try:
+            start, end, ends, name, attributes = markup.send(skip)
+        except StopIteration:
             break
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        skip = None
+        add(html.unescape(page[at:start]))
+        at = end
         if not name:
             continue
         tags += 1
-        ends, attributes = m[1] or m[4], m[3] or m[6] or ""
         if name in BLOCKS:
             flush()
         elif name == "br":
             pieces.append(" ")
         if ends:
-            if any(t == name for t, _ in stack):
+            if where.get(name):
                 while stack[-1][0] != name:
                     pop()
                 pop()
             continue
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            if not attributes.endswith("/") or name not in ("svg", "math"):
-                at = end.end() if end else (len(page) if name not in ("svg", "math", "template") else at)
+        if name in RAW or name == "xmp":
+            begin = at
+            stop, at, *_ = markup.send(name)
+            if name == "xmp":  # text, as it stands
+                add(page[begin:stop])
+                flush()
             continue
         if name in BLOCKS and name not in VOID:
             close({"p"}, {"article", "section", "div", "td", "li", "button", "body", "aside", "nav", "main", "header", "footer", "form", "blockquote"})
@@ -140,42 +196,74 @@ def blocks_of(page: str) -> tuple[list[str], list[tuple[int, ...]], list[tuple[i
             close(*CLOSES[name])
         if name not in VOID and not attributes.endswith("/"):
             features = (_tag(name, ""), *_names(attributes)) if attributes else (_tag(name, ""),)
+            where.setdefault(name, []).append(len(stack))
             stack.append((name, features))
-            link += name == "a"
+            if name in BLOCKS:
+                bounds.append(name)
             for f in features:
                 open_features[f] = open_features.get(f, 0) + 1
+    add(html.unescape(page[at:]))
     flush()
     return texts, paths, sizes
 
 
-def block_vectors(pages: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Blocks of each page; over all blocks: path features, word shares, sizes; and offsets of the pages."""
-    texts, counts, paths, sizes = [], [], [], []
+@dataclass(frozen=True)
+class Blocks:
+    """Blocks of some pages: their texts by page, and over all blocks the distinct paths and which of them each
+    has, word slots with n + 1 offsets, and sizes; with the offsets of the pages among the blocks."""
+
+    texts: list[list[str]]
+    paths: list[tuple[int, ...]]
+    path: np.ndarray
+    slots: np.ndarray
+    ends: np.ndarray
+    more: np.ndarray
+    offsets: np.ndarray
+
+    def dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """Path features and word shares as matrices; for training."""
+        path = np.zeros((len(self.paths), PATH), np.float32)
+        for k, features in enumerate(self.paths):
+            path[k, list(features)] = 1
+        n = np.diff(self.ends)
+        owner = np.repeat(np.arange(len(n)), n)
+        words = np.bincount(owner * WORDS + self.slots, minlength=len(n) * WORDS).reshape(len(n), WORDS).astype(np.float32)
+        return path[self.path], words / np.maximum(n, 1)[:, None]
+
+    def inputs(self, paths: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Sums of the paths' rows of one table, means of the words' rows of another, and sizes."""
+        sums = np.stack([paths[list(x)].sum(0) for x in self.paths]) if self.paths else np.zeros((0, paths.shape[1]), np.float32)
+        means = np.zeros((len(self.path), words.shape[1]), np.float32)
+        n = np.diff(self.ends)
+        for lo, hi in steps(self.ends, 1 << 17):
+            some = lo + np.flatnonzero(n[lo:hi])
+            if len(some):
+                means[some] = np.add.reduceat(words[self.slots[self.ends[lo] : self.ends[hi]]], self.ends[some] - self.ends[lo]) / n[some][:, None]
+        return np.concatenate([sums[self.path], means, self.more], 1)
+
+
+def block_vectors(pages: list[str]) -> Blocks:
+    """The blocks of some pages with what the labeller reads of them."""
+    texts, path, names, sizes = [], [], {}, []
     for page in pages:
         t, p, s = blocks_of(page)
         texts.append(t)
-        counts.append(len(t))
-        paths += p
-        sizes += s
+        path += [names.setdefault(x, len(names)) for x in p]
+        sizes.append(np.array(s, np.float32).reshape(-1, 3))
     flat = [t for page in texts for t in page]
     raw = [t.encode("utf-8", "replace") for t in flat]
     offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))))
     data = LOWER[np.frombuffer(b"".join(raw), np.uint8)]
+    del raw
     starts, lengths, ends = words_of(data, offsets)
     n_words = np.diff(ends)
-    owner = np.repeat(np.arange(len(flat)), n_words)
-    slot = (hash_words(data, starts, lengths) % np.uint64(WORDS)).astype(np.int64)
-    words = np.bincount(owner * WORDS + slot, minlength=len(flat) * WORDS).reshape(len(flat), WORDS).astype(np.float32)
-    words /= np.maximum(n_words, 1)[:, None]
-    width = np.fromiter(map(len, paths), np.int64, len(paths))
-    path = np.zeros((len(flat), PATH), np.float32)
-    if len(flat):
-        path[np.repeat(np.arange(len(flat)), width), np.fromiter((f for p in paths for f in p), np.int64, int(width.sum()))] = 1
-    s = np.array(sizes, np.float32).reshape(-1, 3)
+    slots = (hash_words(data, starts, lengths) % np.uint64(WORDS)).astype(np.int16)
+    s = np.concatenate([*sizes, np.zeros((0, 3), np.float32)])
     chars = np.fromiter(map(len, flat), np.float32, len(flat))
     stops = np.fromiter((t.count(".") + t.count(",") for t in flat), np.float32, len(flat))
-    more = np.stack([np.log1p(chars) / 5, np.log1p(n_words) / 3, s[:, 0] / np.maximum(chars, 1), np.log1p(s[:, 1]), np.log1p(s[:, 2]), np.minimum(stops / np.maximum(n_words, 1), 1)], 1).astype(np.float32) if len(flat) else np.zeros((0, 6), np.float32)
-    return texts, path, words, more, np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
+    more = np.stack([np.log1p(chars) / 5, np.log1p(n_words) / 3, s[:, 0] / np.maximum(chars, 1), np.log1p(s[:, 1]), np.log1p(s[:, 2]), np.minimum(stops / np.maximum(n_words, 1), 1)], 1).astype(np.float32)
+    counts = np.fromiter(map(len, texts), np.int64, len(texts))
+    return Blocks(texts, list(names), np.array(path, np.int64), slots, ends, more, np.concatenate(([0], np.cumsum(counts))))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -195,19 +283,20 @@ class BlockLabeller:
             self.p |= {f"x{side}": w(d, 4 * hidden), f"h{side}": w(hidden, 4 * hidden), f"c{side}": np.zeros(4 * hidden, np.float32)}
             self.p[f"c{side}"][hidden : 2 * hidden] = 1
 
-    def _inputs(self, path: np.ndarray, words: np.ndarray, more: np.ndarray) -> np.ndarray:
-        return np.concatenate([path @ self.p["path"], words @ self.p["words"], more], 1)
-
     def _run(self, x: np.ndarray, mask: np.ndarray, side: str, keep: bool):
         """x: (steps, pages, inputs).  Hidden states, and what the backward pass needs."""
         t, n, _ = x.shape
         k = self.hidden
-        z = x @ self.p[f"x{side}"] + self.p[f"c{side}"]
+        wide = t if keep else max(1, CELLS // (4 * k * max(n, 1)))  # steps whose inputs are weighed at a time
         h, c = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32)
         out = np.zeros((t, n, k), np.float32)
-        tape = [None] * t
+        tape = [None] * t if keep else []
+        z, base = None, 0
         for s in range(t) if side == "f" else range(t - 1, -1, -1):
-            g = z[s] + h @ self.p[f"h{side}"]
+            if z is None or not base <= s < base + len(z):
+                base = s // wide * wide
+                z = x[base : base + wide] @ self.p[f"x{side}"] + self.p[f"c{side}"]
+            g = z[s - base] + h @ self.p[f"h{side}"]
             gates = _sigmoid(g[:, : 3 * k])
             i, f, o, u = gates[:, :k], gates[:, k : 2 * k], gates[:, 2 * k :], np.tanh(g[:, 3 * k :])
             m = mask[s][:, None]
@@ -249,27 +338,29 @@ class BlockLabeller:
         mask = steps[:, None] < n[None, :]
         return np.where(mask, offsets[pages][None, :] + steps[:, None], 0), mask
 
-    def scores(self, path: np.ndarray, words: np.ndarray, more: np.ndarray, offsets: np.ndarray, cells: int = 200_000) -> np.ndarray:
+    def scores(self, blocks: Blocks, cells: int = 50_000) -> np.ndarray:
         """The probability of each block that it is main text; pages of like length run together."""
-        x = self._inputs(path, words, more)
+        x = blocks.inputs(self.p["path"], self.p["words"])
+        offsets = blocks.offsets
         out = np.zeros(len(x), np.float32)
         n = np.diff(offsets)
         order = np.argsort(n, kind="stable")
         order = order[n[order] > 0]
-        hi = len(order)
+        hi, k = len(order), self.hidden
         while hi:
             lo = max(0, hi - max(1, cells // int(n[order[hi - 1]])))
             at, mask = self._padded(offsets, order[lo:hi])
             steps = x[at]
-            hf, _ = self._run(steps, mask, "f", False)
-            hb, _ = self._run(steps, mask, "b", False)
-            y = np.concatenate([hf, hb], 2) @ self.p["out"] + steps @ self.p["skip"] + self.p["bias"]
+            y = steps @ self.p["skip"] + self.p["bias"]
+            y += self._run(steps, mask, "f", False)[0] @ self.p["out"][:k]
+            y += self._run(steps, mask, "b", False)[0] @ self.p["out"][k:]
             out[at[mask]] = _sigmoid(y[mask])
             hi = lo
         return out
 
-    def train(self, path, words, more, offsets, labels, rounds: int = 6, size: int = 48, rate: float = 0.01, seed: int = 5) -> None:
+    def train(self, blocks: Blocks, labels, rounds: int = 6, size: int = 48, rate: float = 0.01, seed: int = 5) -> None:
         """Adam on the mean logistic loss over blocks."""
+        (path, words), more, offsets = blocks.dense(), blocks.more, blocks.offsets
         r = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -338,7 +429,7 @@ class Layouts:
             return f"<b>{text}"
         if k < 0.3:
             cut = len(text) // 2
-            return f"{text[:cut]}<{(t := self.pick(['em', 'a href=x', 'strong', 'span', 'code']))}>{text[cut:]}</{t.split()[0]}>"
+            return f"{text[:cut]}<{(t := self.pick(['em', 'a href=x', 'strong', 'span', 'code', 'math', 'svg']))}>{text[cut:]}</{t.split()[0]}>"
         return text + "<br>" * (k > 0.9)
 
     def name(self, options: str | list[str], kind: str = "class") -> str:
@@ -366,6 +457,8 @@ class Layouts:
             if kind == "header" and self.r.random() < 0.5:
                 inner = f"<{(t := self.pick(['h1', 'h2', 'p', 'div']))}>{self.words(1, 5)}</{t}>" + (f"<p>{self.words(2, 10)}</p>" if self.r.random() < 0.5 else "")
             inner *= 1 + (self.r.random() < 0.2)
+        if kind == "notice" and self.r.random() < 0.2:
+            element = "noscript"
         return f"<{element}{attrs}>{inner}</{element}>"
 
     def article(self) -> str:
@@ -386,7 +479,7 @@ class Layouts:
             elif k < 0.9:
                 out.append("<table>" + "".join(f"<tr><td>\x01{self.words(1, 4)}</td><td>\x01{self.words(1, 4)}</td></tr>" for _ in range(3)) + "</table>")
             elif k < 0.92:
-                out.append(f"<pre>\x01{self.words(1, 30)}</pre>")
+                out.append(f"<{(t := self.pick(['pre', 'pre', 'pre', 'xmp']))}>\x01{self.words(1, 30)}</{t}>")
             else:
                 out.append(self.outside(self.pick(["advert", "related", "sidebar", "form", "notice", "comments"])))
         if self.r.random() < 0.2:
@@ -408,31 +501,34 @@ class Layouts:
 def trained(pages: int = 1200, seed: int = 11) -> BlockLabeller:
     """The labeller, trained on so many generated pages."""
     made = Layouts(seed)
-    texts, path, words, more, offsets = block_vectors([made.page() for _ in range(pages)])
-    labels = np.fromiter((t.startswith("\x01") for page in texts for t in page), np.float32, int(offsets[-1]))
+    blocks = block_vectors([made.page() for _ in range(pages)])
+    labels = np.fromiter((t.startswith("\x01") for page in blocks.texts for t in page), np.float32, int(blocks.offsets[-1]))
     model = BlockLabeller()
-    model.train(path, words, more, offsets, labels)
+    model.train(blocks, labels)
     return model
 
 
 def main_texts(pages: list[str], model: BlockLabeller) -> list[str]:
-    texts, path, words, more, offsets = block_vectors(pages)
-    keep = model.scores(path, words, more, offsets) >= 0.5
-    return ["\n".join(t for t, k in zip(page, keep[a:b], strict=True) if k) for page, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True)]
+    blocks = block_vectors(pages)
+    keep = model.scores(blocks) >= 0.5
+    return ["\n".join(t for t, k in zip(page, keep[a:b], strict=True) if k) for page, a, b in zip(blocks.texts, blocks.offsets[:-1], blocks.offsets[1:], strict=True)]
 
 
-def extracted(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None, model: BlockLabeller | None = None, step: int = 256) -> DataFrame:
-    """The kept columns of each page with its main text and the text's length."""
+def extracted(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None, model: BlockLabeller | None = None, step: int = 1 << 20) -> DataFrame:
+    """The kept columns of each page with its main text and the text's length; ``step``: bytes of pages that are read together."""
     small_batches(pages.sparkSession)
     model = model or trained()
-    keep = keep or []
-    shape = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.select(*keep).schema.fields) + "text string, n_chars long"
+    keep = [c for c in keep or [] if c not in ("text", "n_chars")]
+    held = [f"kept_{i}" for i in range(len(keep))]
+    read = pages.select(*(F.col(c).alias(k) for c, k in zip(keep, held, strict=True)), F.col(html_col).alias("page_html"))
+    shape = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in read.schema.fields[:-1]) + "text string, n_chars long"
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, step):
-                part = batch.slice(lo, step)
+            _, offsets = text_bytes(batch.column("page_html"))
+            for lo, hi in steps(offsets, step):
+                part = batch.slice(lo, hi - lo)
                 texts = main_texts(part.column("page_html").fill_null("").to_pylist(), model)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in held), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*held, "text", "n_chars"])
 
-    return pages.select(*keep, F.col(html_col).alias("page_html")).mapInArrow(extract, shape)
+    return read.mapInArrow(extract, shape).toDF(*keep, "text", "n_chars")

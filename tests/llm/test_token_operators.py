@@ -3,6 +3,9 @@
 import math
 import random
 import re
+import subprocess
+import sys
+import time
 import zlib
 from collections import Counter
 
@@ -142,9 +145,50 @@ def test_main_text_of_a_page(spark):
 
 def test_labeller_on_unseen_layouts():
     made = html_blocks.Layouts(77)
-    texts, path, words, more, offsets = html_blocks.block_vectors([made.page() for _ in range(150)])
-    labels = np.array([t.startswith("\x01") for page in texts for t in page])
-    assert ((html_blocks.trained().scores(path, words, more, offsets) >= 0.5) == labels).mean() > 0.98
+    blocks = html_blocks.block_vectors([made.page() for _ in range(150)])
+    labels = np.array([t.startswith("\x01") for page in blocks.texts for t in page])
+    assert ((html_blocks.trained().scores(blocks) >= 0.5) == labels).mean() > 0.98
+
+
+def test_main_text_of_generated_pages_against_a_plain_reading(spark):
+    """Articles of known paragraphs between menus, adverts and footers, many of them, and none of it lost or added."""
+    r, rows, wanted = random.Random(3), [], {}
+    words = lambda a, b: " ".join("".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 9))) for _ in range(r.randint(a, b)))
+    for k in range(200):
+        title, parts = words(2, 9).capitalize(), [words(6, 80).capitalize() + "." for _ in range(r.randint(2, 12))]
+        menu = "".join(f"<li><a href=/{i}>{words(1, 2)}</a></li>" for i in range(5))
+        body = "".join(f"<p>{p[:9]}<b>{p[9:]}</b></p>" if r.random() < 0.3 else f"<p>{p} &eacute;&#33;<br>ok</p>" for p in parts)
+        rows.append((k, f"<html><head><title>{title}</title></head><body><nav><ul>{menu}</ul></nav><div class='ad'>{words(4, 9)}</div><article><h1>{title}</h1>{body}</article><footer>&copy; {words(2, 9)}</footer></body></html>"))
+        wanted[k] = "\n".join([title, *(p if f"<b>{p[9:]}" in body else f"{p} é! ok" for p in parts)])
+    found = {x["page_id"]: x["text"] for x in html_blocks.extracted(spark.createDataFrame(rows, "page_id long, html string"), keep=["page_id"]).collect()}
+    assert sum(found[k] != wanted[k] for k in wanted) <= 1
+
+
+def test_kept_columns_of_clashing_names(spark):
+    pages = spark.createDataFrame([(1, "t", "h", 5, "<article><p>Some words of it, here.</p></article>")], "page_id long, text string, page_html string, n_chars int, html string")
+    found = html_blocks.extracted(pages, keep=["page_id", "page_html", "text", "n_chars"])
+    assert found.columns == ["page_id", "page_html", "text", "n_chars"] and found.first()["page_html"] == "h" and found.first()["n_chars"] == 23
+    assert html_blocks.extracted(pages.limit(0), keep=["page_id"]).count() == 0
+
+
+@pytest.mark.parametrize("page", ["<a" * 500_000, '<a "><a" "' * 100_000 + "'", "<!" * 500_000, "<svg>" * 200_000, "<script " * 130_000, "<p><button>" + "<b>" * 150_000 + "<div></div>" * 50_000, "<a '" * 250_000, '<p class="' + "a " * 400_000 + '">x', "<p class" + "= " * 400_000 + ">", "&" * 10**6, "<!--" * 250_000, "<li>" * 250_000, "<xmp>" * 200_000], ids=range(13))
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    html_blocks.blocks_of(page)
+    assert time.process_time() - began < 20
+
+
+def test_long_pages_take_bounded_memory():
+    code = "import resource as r; from fieldloom.llm import html_blocks as h; use = lambda: r.getrusage(r.RUSAGE_SELF).ru_maxrss; m = h.BlockLabeller(); a = use(); h.main_texts(['<p>word other <b>x</b></p>' * 100_000], m); print((use() - a) // 1024)"
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 300
+
+
+def test_text_of_odd_markup():
+    texts = lambda page: html_blocks.blocks_of(page)[0]
+    assert texts("<p>a &am<b>p; b</b> &amp; c</p>") == ["a &amp; b & c"]
+    assert texts("<p>x <math><mi>y</mi></math> <svg><text>z</text></svg></p><noscript><p>n</p></noscript><xmp><b> &amp;</xmp>") == ["x y z", "n", "<b> &amp;"]
+    assert texts("<script>a<p></script>b<style>c</style><textarea>d</textarea><!-- e --><p title='>'>f <template>g") == ["b", "f"]
+    assert texts('<p title="a>b">c</p><p title="d>e</p>f') == ["c", "e", "f"]  # the last quote never closes
 
 
 def test_hamming_search_matches_brute_force(spark):

@@ -17,13 +17,14 @@ the shared folder, so that Spark's commit protocol keeps them whole when an exec
 
 Rows read back, one for each input row: id, ``start`` (tokens of all rows before it), ``n_tokens`` (with the
 end id), ``ids_crc32``.  Null and empty texts are the end id alone.  Rows of one id follow each other,
-ordered by their ids' bytes; null ids come first.  An empty table gives no shards and no rows.
+in the order of a hash of theirs; null ids come first.  An empty table gives no shards and no rows.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, spread, steps, stored, text_bytes
+from .common import LOWER, U64, hash_words, mix, small_batches, spread, steps, stored, text_bytes, words_of
 
 LONGEST = 16
 BLOCK = 1024
@@ -167,19 +168,40 @@ def _code(symbols: bytes, per_length: bytes) -> Code:
     return Code(np.frombuffer(symbols, "<u4"), np.frombuffer(per_length, "<u4"))
 
 
-def _base(chunk: str) -> str:
-    """The word that a chunk of letters, perhaps with one full stop or comma, is encoded by; else the chunk."""
-    word = chunk[:-1] if chunk[-1:] in (".", ",") else chunk
-    if not word.isalpha() or not word.lower().isalpha():  # a capital may become a letter and a mark
-        return chunk
-    return word.lower() if word.isascii() else word
+#: Bytes that part chunks of text: space and newline.
+_BETWEEN = np.zeros(256, bool)
+_BETWEEN[[10, 32]] = True
+#: A-Z and a-z.
+_LETTER = LOWER != np.arange(256)
+_LETTER[97:123] = True
+
+
+def _all_letters(word: str) -> bool:
+    """Whether a word is letters still when it is composed and in small letters: either may leave a mark."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).isalpha() and word.lower().isalpha())
+
+
+#: The character that stands for each byte in byte-level vocabularies: printable ones themselves, the others from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+
+
+def _shown(word: str) -> str:
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
+
+
+def _is_plain(word: str) -> bool:
+    """Whether a word of letters is small Latin ones that no normaliser changes."""
+    return word.islower() and (word.isascii() or max(word) < "\u0250" and word.lower() == word and unicodedata.is_normalized("NFC", word))
 
 
 class Encoder:
     """Ids of texts from the tokenizers library, which sees each distinct chunk between blanks once.
 
     It is for tokenizers that never look across a space or newline: their pre-tokens and added tokens
-    hold none.  Chunks go to the library joined by a mark that is one token of its own.
+    hold none.  A chunk is known by a 64-bit hash of its bytes (that two of a worker's chunks share one has
+    a chance below 1e-7), in sorted arrays beside the ids.  A chunk of letters with one full stop or comma is
+    the ids of its letters and that mark's, and A-Z fold in chunks of Latin letters, where the library agrees.
     """
 
     def __init__(self, path: str, kept: int = KEPT):
@@ -192,95 +214,153 @@ class Encoder:
         if len(alone) != 1 or mark.count(alone[0]) != 2 or self.tokenizer.encode(" \n ", add_special_tokens=False).ids:
             raise ValueError(f"{path}: its tokens hold blanks, or it has no one-token mark")
         self.mark = alone[0]
-        #: One-token ends of words, where the tokenizer folds A-Z and parts words from them.
-        self.plain: dict[str, int] = {}
+        #: For each byte the one-token end of a word that it is, where the tokenizer folds A-Z and parts words from it; else -1.
+        self.tail = np.full(256, -1, np.int64)
         for end in ".,":
             word, dot, both = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("then", end, f"Then{end}"))
             if len(dot) == 1 and both == word + dot:
-                self.plain[end] = dot[0]
-        #: Which ids end a pre-token, for models that mark it; and whether small Latin letters pass to the model as they are.
+                self.tail[ord(end)] = dot[0]
+        self.folds = bool((self.tail >= 0).any())
+        #: Which ids end a pre-token, for models that mark it; and whether small Latin letters pass to the model as their bytes are shown.
         self.suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.final = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items() if self.suffix else ():
             self.final[i] = token.endswith(self.suffix)
-        self.direct = all(self.tokenizer.encode(w, add_special_tokens=False).ids == [t.id for t in self.tokenizer.model.tokenize(w)] for w in ("then", "qzxthon", "abcdefghijklmnopqrstuvwxyz"))
+        self.direct = all(self.tokenizer.encode(w, add_special_tokens=False).ids == [t.id for t in self.tokenizer.model.tokenize(_shown(w))] for w in ("then", "qzxthon", "abcdefghijklmnopqrstuvwxyz", "élève", "ßøåñçþÿ", "źđĥšȟ"))
         self._anew()
 
     def _encoded(self, texts: list[str]) -> np.ndarray:
         return np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
 
     def _anew(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.flat, self.starts, self.filled = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
-        self.sizes = np.zeros(1 << 16, np.int64)
-
-    def _add(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n = len(self.known)
-        while n + len(chunks) > len(self.starts):
-            self.starts, self.sizes = np.append(self.starts, np.zeros_like(self.starts)), np.append(self.sizes, np.zeros_like(self.sizes))
+        self.keys, self.entry, self.filled = np.zeros(0, U64), np.zeros(0, np.int64), 0
+        self.flat, self.starts, self.sizes, self.letters = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.entry[at], -1)
+
+    def _add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, letters: np.ndarray) -> None:
+        n, grown = len(self.keys), len(self.keys) + len(keys)
+        while grown > len(self.starts):
+            self.starts, self.sizes, self.letters = (np.append(x, np.zeros_like(x)) for x in (self.starts, self.sizes, self.letters))
         while self.filled + len(ids) > len(self.flat):
             self.flat = np.append(self.flat, np.zeros_like(self.flat))
         self.flat[self.filled : self.filled + len(ids)] = ids
-        self.starts[n : n + len(chunks)] = self.filled + np.cumsum(sizes) - sizes
-        self.sizes[n : n + len(chunks)] = sizes
+        self.starts[n:grown], self.sizes[n:grown], self.letters[n:grown] = self.filled + np.cumsum(sizes) - sizes, sizes, letters
         self.filled += len(ids)
-        self.known.update(zip(chunks, range(n, n + len(chunks)), strict=True))
-
-    def _learn(self, wanted: set[str]) -> None:
-        if len(self.known) + len(wanted) > self.kept:
-            self._anew()
-        new = list(wanted.difference(self.known))
-        base = [_base(w) if self.plain else w for w in new]
-        first = [b for b in dict.fromkeys(base) if b not in self.known]
-        letters = [w for w in first if self.suffix and w.isalpha()]
-        plain = [w for w in letters if self.direct and w.isascii() and w.islower()]
-        if plain:  # one pre-token each, and the normaliser leaves it alone: the library's model alone
-            ids = [[t.id for t in self.tokenizer.model.tokenize(w)] for w in plain]
-            self._add(plain, np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
-        rest = [w for w in letters if not (self.direct and w.isascii() and w.islower())]
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.entry = np.insert(self.keys, at, keys[order]), np.insert(self.entry, at, n + order)
+
+    def _ids_of(self, words: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some chunks one after the other, and how many each has."""
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # chunks, their ids, how many each
+        plain = np.fromiter((self.direct and _is_plain(w) for w in words), bool, len(words)) & letters & bool(self.suffix)
+        if plain.any():  # one pre-token each, and the normaliser leaves it alone: the library's model alone
+            tokenize, some = self.tokenizer.model.tokenize, np.flatnonzero(plain)
+            ids = [[t.id for t in tokenize(_shown(words[k]))] for k in some.tolist()]
+            found.append((some, np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))))
+        rest, todo = np.flatnonzero(letters & ~plain & bool(self.suffix)), np.flatnonzero(~letters | (not self.suffix))
         for lo in range(0, len(rest), 20_000):
             part = rest[lo : lo + 20_000]
-            ids = self._encoded([" ".join(part[k : k + 500]) for k in range(0, len(part), 500)])
+            ids = self._encoded([" ".join([words[i] for i in part[k : k + 500].tolist()]) for k in range(0, len(part), 500)])
             ends = np.flatnonzero(self.final[ids])
             if len(ends) == len(part):
-                self._add(part, ids, np.diff(np.append(-1, ends)))
-        first = [w for w in first if w not in self.known]
-        odd = [w for w in first if "\x00" in w]
-        first = [w for w in first if "\x00" not in w]
-        for lo in range(0, len(first), 20_000):
-            part = first[lo : lo + 20_000]
-            ids = self._encoded([" \x00 ".join(part[k : k + 500]) + " \x00" for k in range(0, len(part), 500)])
+                found.append((part, ids, np.diff(np.append(-1, ends))))
+            else:
+                todo = np.append(todo, part)
+        odd = np.fromiter(("\x00" in words[i] for i in todo.tolist()), bool, len(todo))
+        for i in todo[odd].tolist():
+            ids = np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, np.uint32)
+            found.append((np.array([i]), ids, np.array([len(ids)])))
+        todo = todo[~odd]
+        for lo in range(0, len(todo), 20_000):
+            part = todo[lo : lo + 20_000]
+            ids = self._encoded([" \x00 ".join([words[i] for i in part[k : k + 500].tolist()]) + " \x00" for k in range(0, len(part), 500)])
             marks = ids == self.mark
             sizes = np.diff(np.append(-1, np.flatnonzero(marks))) - 1
             if len(sizes) != len(part):
                 raise AssertionError("a chunk holds the mark's token")
-            self._add(part, ids[~marks], sizes)
-        for w in odd:
-            ids = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
-            self._add([w], ids, np.array([len(ids)]))
-        rest = [(w, b) for w, b in zip(new, base, strict=True) if w != b and w not in self.known]
-        at = np.fromiter((self.known[b] for _, b in rest), np.int64, len(rest))
-        tails = np.fromiter((self.plain.get(w[-1], -1) for w, _ in rest), np.int64, len(rest))
-        sizes = self.sizes[at]
-        ids = self.flat[np.repeat(self.starts[at], sizes) + spread(sizes)]
-        longer = sizes + (tails >= 0)
-        out = np.empty(int(longer.sum()), np.uint32)
-        ends = np.cumsum(longer)
-        last = np.zeros(len(out), bool)
-        last[ends[tails >= 0] - 1] = True
-        out[~last], out[last] = ids, tails[tails >= 0]
-        self._add([w for w, _ in rest], out, longer)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, and how many each has."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        self._learn(set().union(*cut))
-        counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+            found.append((part, ids[~marks], sizes))
+        sizes = np.zeros(len(words), np.int64)
+        for some, _, n in found:
+            sizes[some] = n
+        starts = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), np.uint32)
+        for some, ids, n in found:
+            out[np.repeat(starts[some], n) + spread(n)] = ids
+        return out, sizes
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, tails: np.ndarray) -> None:
+        """Adds chunks: their keys, and of each without its tail place, size and hash in data; -1: no tail."""
+        bare, first = np.unique(_key(hashes, np.full(len(hashes), -1)), return_index=True)
+        missing = self._find(bare) < 0
+        if missing.any():
+            at = first[missing]
+            words = _strings(data, starts[at], sizes[at])
+            letters = np.fromiter(map(_all_letters, words), bool, len(words))
+            self._add(bare[missing], *self._ids_of(words, letters), letters)
+        ended = tails >= 0
+        base = self._find(_key(hashes, np.full(len(hashes), -1)))
+        apart = ended & self.letters[base]
+        if apart.any():
+            size = self.sizes[base[apart]]
+            out = np.empty(int(size.sum()) + len(size), np.uint32)
+            last = np.zeros(len(out), bool)
+            last[np.cumsum(size + 1) - 1] = True
+            out[last], out[~last] = tails[apart], self.flat[np.repeat(self.starts[base[apart]], size) + spread(size)]
+            self._add(keys[apart], out, size + 1, np.zeros(len(size), bool))
+        whole = ended & ~apart
+        if whole.any():
+            words = _strings(data, starts[whole], sizes[whole] + 1)
+            none = np.zeros(len(words), bool)
+            self._add(keys[whole], *self._ids_of(words, none), none)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, given by their UTF-8 bytes, and how many each has."""
+        starts, sizes, ends = words_of(data, offsets, _BETWEEN)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        tails = np.where(sizes > 1, self.tail[data[starts + sizes - 1]], -1)
+        sizes = sizes - (tails >= 0)
+        if self.folds:
+            known = np.concatenate(([0], np.cumsum(_LETTER[data])))
+            latin = known[starts + sizes] - known[starts] == sizes
+            up, down = np.zeros(len(data) + 1, np.int8), np.zeros(len(data) + 1, np.int8)
+            up[starts], down[starts + sizes] = latin, latin
+            data = np.where(np.cumsum(up - down, dtype=np.int8)[:-1] > 0, LOWER[data], data)
+        hashes = hash_words(data, starts, sizes)
+        keys, first, which = np.unique(_key(hashes, tails), return_index=True, return_inverse=True)
+        at = self._find(keys)
+        new = at < 0
+        if new.any():
+            if len(self.keys) + 2 * int(new.sum()) > self.kept:
+                self._anew()
+                new[:] = True
+            some = first[new]
+            self._learn(keys[new], data, starts[some], sizes[some], hashes[some], tails[some])
+            at = self._find(keys)
+        at = at[which]
         sizes = self.sizes[at]
-        place = np.repeat(self.starts[at], sizes) + spread(sizes)
-        ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))]
-        return self.flat[place], np.diff(ends)
+        bounds = np.concatenate(([0], np.cumsum(sizes)))[ends]
+        return self.flat[np.repeat(self.starts[at], sizes) + spread(sizes)], np.diff(bounds)
+
+
+def _key(hashes: np.ndarray, tails: np.ndarray) -> np.ndarray:
+    return mix(hashes + (tails + 2).astype(U64) * U64(0x9E3779B97F4A7C15))
+
+
+def _strings(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[str]:
+    """Chunks as strings; none of them holds a newline."""
+    ends = np.cumsum(sizes + 1)
+    out = np.full(int(ends[-1]), 10, np.uint8)
+    inside = spread(sizes)
+    out[np.repeat(ends - sizes - 1, sizes) + inside] = data[np.repeat(starts, sizes) + inside]
+    return out[:-1].tobytes().decode().split("\n")
 
 
 @functools.cache
@@ -298,8 +378,8 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         width = id_width(path)
         for batch in batches:
             column = batch.column("text").fill_null("")
-            _, offsets = text_bytes(column)
-            parts = [encoder.encode(column.slice(lo, hi - lo).to_pylist()) for lo, hi in steps(offsets, 2 << 20)]
+            data, offsets = text_bytes(column)
+            parts = [encoder.encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in steps(offsets, 2 << 20)]
             ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
             with_end = np.full(len(ids) + len(sizes), end, f"<u{width}")
             ends = np.cumsum(sizes + 1)
@@ -391,7 +471,8 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id"
     counts = ids.select("ids").mapInArrow(_counted(width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # at most the vocabulary
     code = Code.of(counts.column("id").to_numpy().astype(np.int64), counts.column("n").to_numpy())
     kind = ids.schema["id"].dataType.simpleString()
-    parts = ids.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids").select(F.spark_partition_id().alias("part"), "id", "ids")
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("ids")]  # rows of one id may fall into several parts
+    parts = ids.repartitionByRange(*order).sortWithinPartitions(*order, "ids").select(F.spark_partition_id().alias("part"), "id", "ids")
     parts.mapInArrow(_shards(code, width, shard, block), f"part int, seq int, docs array<{kind}>, tokens long, payload binary").write.parquet(path)
     return path
 

@@ -7,21 +7,23 @@ several languages falls into spans.  One more label, ``und``, stands for no lear
 ``MARGIN`` a trigram below what a typical trigram of the script's languages scores, so gibberish and unlearned
 languages fall to it, as do words in a script that no learned language uses.  The predicted language is the
 learned one with the most letters, ties to the first in order of name; the score is its share of all letters,
-unknown ones included.
+unknown ones included.  A text all of unknown words is predicted as the language that scores its words best, with score 0.
 
 The model counts trigrams of at most about ``sample`` texts of each language (chosen by a hash of the id);
 prediction covers whole texts of all rows in one pass without a shuffle.
 
 Rows of the result, one for each input row: id, ``lang_pred``, ``score``, ``spans`` (array of start, stop, lang:
 code points, in order; letterless stretches belong to no span, unknown words to spans of ``und``).  Null, empty
-and letterless texts are ``und`` with score 0 and no spans; texts of unknown words alone are ``und`` with score 0.
-With nothing to learn from, everything is ``und``.  Ids may repeat or be null.
+and letterless texts are ``und`` with score 0 and no spans.  With nothing to learn from, everything is ``und``.
+Texts of any length are labelled whole; a step takes one word of every text of a batch, so a very long text
+goes on word by word alone.  Ids may repeat or be null; rows of null id have one hash and are held out, or sampled, together.
 Rows of null language are not learned from.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
+import sys
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -41,7 +43,7 @@ USES = 0.01
 #: Log units a trigram that a word may lie below the mean of its language; half the way to an unseen trigram if that is less.
 MARGIN = 3.0
 UNKNOWN = "und"
-_TOP = 0x30000
+_TOP = sys.maxunicode + 1
 
 #: First and last code point of the blocks of each script.
 SCRIPTS = {
@@ -65,21 +67,18 @@ SCRIPTS = {
     "khmer": [(0x1780, 0x17FF)],
     "kana": [(0x3040, 0x30FF), (0x31F0, 0x31FF)],
     "hangul": [(0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7AF)],
-    "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2FA1F)],
+    "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x3FFFF)],
 }
 
 
 @functools.cache
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each code point: whether it belongs to a word, its lower case, its script (0: none of the list)."""
-    word = np.zeros(_TOP, bool)
-    letter = np.zeros(_TOP, bool)
+    letter = np.fromiter((chr(i).isalpha() for i in range(_TOP)), bool, _TOP)
+    word = letter | np.fromiter((unicodedata.category(chr(i))[0] == "M" for i in range(_TOP)), bool, _TOP)
     lower = np.arange(_TOP, dtype=np.uint32)
-    for i in range(_TOP):
-        c = chr(i)
-        letter[i] = c.isalpha()
-        word[i] = letter[i] or unicodedata.category(c)[0] == "M"
-        if len(low := c.lower()) == 1:
+    for i in np.flatnonzero(letter).tolist():
+        if len(low := chr(i).lower()) == 1:
             lower[i] = ord(low)
     script = np.zeros(_TOP, np.uint8)
     for k, ranges in enumerate(SCRIPTS.values(), 1):
@@ -92,7 +91,7 @@ def _points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Code points, and the offsets of the rows among them."""
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    return np.where(points < _TOP, points, 0), lead[offsets]
+    return points, lead[offsets]
 
 
 @dataclass(frozen=True)
@@ -138,13 +137,14 @@ def viterbi(scores: np.ndarray, ends: np.ndarray, penalty: float) -> np.ndarray:
     n = np.diff(ends)
     order = np.argsort(-n, kind="stable")
     first, n = ends[:-1][order], n[order]
-    labels = np.zeros(len(scores), np.uint8)
+    kind = np.uint8 if scores.shape[1] <= 256 else np.uint16
+    labels = np.zeros(len(scores), kind)
     if not len(scores):
         return labels
-    back = np.zeros((len(scores), scores.shape[1]), np.uint8)
+    back = np.zeros((len(scores), scores.shape[1]), kind)
     going = np.searchsorted(-n, -np.arange(n[0]), "left")  # sequences longer than t
     best = scores[first[: going[0]]].astype(np.float64)
-    own = np.arange(scores.shape[1], dtype=np.uint8)
+    own = np.arange(scores.shape[1], dtype=kind)
     done = []
     for t in range(1, n[0]):
         k = going[t]
@@ -155,7 +155,7 @@ def viterbi(scores: np.ndarray, ends: np.ndarray, penalty: float) -> np.ndarray:
         switch = best[np.arange(k), top] - penalty
         stay = best >= switch[:, None]
         at = first[:k] + t
-        back[at] = np.where(stay, own, top[:, None].astype(np.uint8))
+        back[at] = np.where(stay, own, top[:, None].astype(kind))
         best = np.where(stay, best, switch[:, None]) + scores[at]
         best -= best.max(1, keepdims=True)
     done.append(best.argmax(1))
@@ -228,9 +228,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     names = sorted(sizes)
-    share = F.lit(0.0)
-    for name in names:
-        share = F.when(F.col("lang") == name, F.lit(sample / sizes[name])).otherwise(share)
+    shares = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.lit(sample / sizes[x]) for x in names)))
+    share = F.try_element_at(shares, F.col("lang")) if names else F.lit(0.0)
     chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000)
     found = chosen.select("text", "lang").mapInArrow(_counted(names), "kind int, lang int, slot int, n long").groupBy("kind", "lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     kind, lang, slot, n = (found.column(c).to_numpy() for c in ("kind", "lang", "slot", "n"))
@@ -248,15 +247,17 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())]))
 
 
-def _predicted(words: Words, labels: np.ndarray, model: LanguageModel, spans: bool) -> tuple[list[str], np.ndarray, pa.Array | None]:
+def _predicted(words: Words, scores: np.ndarray, labels: np.ndarray, model: LanguageModel, spans: bool) -> tuple[list[str], np.ndarray, pa.Array | None]:
     n, k = len(words.ends) - 1, len(model.names) + 1
     owner = np.repeat(np.arange(n), np.diff(words.ends))
     letters = np.bincount(owner * k + labels, words.letters, n * k).reshape(n, k)
     total = letters.sum(1)
     best = letters[:, : max(1, k - 1)].argmax(1)
-    known = (letters[np.arange(n), best] > 0) & bool(model.names)
-    score = np.where(known, letters[np.arange(n), best] / np.maximum(total, 1), 0.0)
-    names = [model.names[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)]
+    share = letters[np.arange(n), best]
+    score = np.where(share > 0, share / np.maximum(total, 1), 0.0) if model.names else np.zeros(n)
+    for row in np.flatnonzero((total > 0) & (share == 0)).tolist() if model.names else ():  # no word of a known language: the likeliest, with score 0
+        best[row] = scores[words.ends[row] : words.ends[row + 1], :-1].sum(0, dtype=np.float64).argmax()
+    names = [model.names[b] if ok else UNKNOWN for b, ok in zip(best, (total > 0) & bool(model.names), strict=True)]
     if not spans:
         return names, score, None
     if not model.names:
@@ -286,7 +287,7 @@ def languages(docs: DataFrame, model: LanguageModel, text_col: str = "text", spa
                 parts.append((replace(words, slots=words.slots[:0]), model.scores(words)))
             labels = model.label(parts)
             for (lo, hi), (words, scores) in zip(cuts, parts, strict=True):
-                names, score, found = _predicted(words, labels[: len(scores)], model, spans)
+                names, score, found = _predicted(words, scores, labels[: len(scores)], model, spans)
                 labels = labels[len(scores) :]
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(names, pa.string()), pa.array(score), *([found] if spans else [])], [*kept, "lang_pred", "score", *(["spans"] if spans else [])])

@@ -118,9 +118,10 @@ FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id =
 
 
 OP7_SQL = """
-WITH codes AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x > 0 AND NOT isnan(x)) AS bits FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64),
+WITH most AS (SELECT len(embedding) AS size FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1),
+codes AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x > 0 AND NOT isnan(x)) AS bits FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = (SELECT size FROM most)),
 pairs AS (
-  SELECT q.vec_id AS query_id, r.vec_id AS vec_id, list_sum(list_transform(range(1, 65), lambda i: (q.bits[i] <> r.bits[i])::BIGINT))::BIGINT AS distance
+  SELECT q.vec_id AS query_id, r.vec_id AS vec_id, list_sum(list_transform(range(1, len(q.bits) + 1), lambda i: (q.bits[i] <> r.bits[i])::BIGINT))::BIGINT AS distance
   FROM codes q JOIN codes r ON q.vec_id % 100 = 0 AND r.vec_id <> q.vec_id
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs)
 SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10

@@ -191,6 +191,14 @@ def test_text_of_odd_markup():
     assert texts('<p title="a>b">c</p><p title="d>e</p>f') == ["c", "e", "f"]  # the last quote never closes
 
 
+def brute_nearest(bits, queries, k=hamming.K):
+    want = set()
+    for q in queries:
+        near = sorted((int((bits[q] != b).sum()), i) for i, b in bits.items() if i != q)[:k]
+        want |= {(q, rank, i, d) for rank, (d, i) in enumerate(near, 1)}
+    return want
+
+
 def test_hamming_search_matches_brute_force(spark):
     r = np.random.default_rng(6)
     vectors = r.normal(size=(400, 20)).astype(float)
@@ -198,11 +206,32 @@ def test_hamming_search_matches_brute_force(spark):
     rows = [(i, v.tolist(), "x") for i, v in enumerate(vectors)] + [(7, vectors[7].tolist(), "y"), (None, vectors[0].tolist(), "x"), (900, None, "x"), (901, [1.0], "x"), (902, [float("nan")] * 20, "x")]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
     bits = {i: np.array(v) > 0 for i, v, _ in rows if i is not None and v is not None and len(v) == 20}
-    for shard_codes in (hamming.SHARD_CODES, 40):
-        found = hamming.nearest_codes(table, table.where("vec_id % 25 = 0"), dims=20, shard_codes=shard_codes).collect()
-        want = set()
-        for q in (i for i in bits if i % 25 == 0):
-            near = sorted((int((bits[q] != b).sum()), i) for i, b in bits.items() if i != q)[: hamming.K]
-            want |= {(q, k, i, d) for k, (d, i) in enumerate(near, 1)}
-        assert {tuple(x) for x in found} == want and len(found) == len(want)
-    assert hamming.nearest_codes(table.limit(0), table.limit(0), dims=20).count() == 0
+    found = hamming.nearest_codes(table, table.where("vec_id % 25 = 0")).collect()
+    want = brute_nearest(bits, [i for i in bits if i % 25 == 0])
+    assert {tuple(x) for x in found} == want and len(found) == len(want)
+    assert hamming.nearest_codes(table.limit(0), table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("dims", [64, 100])
+def test_hamming_queries_end_by_coverage(spark, monkeypatch, dims):
+    """Codes of families of near ones: queries end at a small radius, long before all codes are met."""
+    radii, plain = [], hamming.flips
+    monkeypatch.setattr(hamming, "flips", lambda bits, radius: radii.append(radius) or plain(bits, radius))
+    r = np.random.default_rng(7)
+    base = r.normal(size=(100, dims))
+    vectors = np.repeat(base, 15, 0)
+    for v in vectors:
+        v[r.integers(0, dims, 3)] *= -1
+    table = spark.createDataFrame([(f"v{i:05}", v.tolist()) for i, v in enumerate(vectors)], "vec_id string, embedding array<double>")
+    found = hamming.nearest_codes(table, table.where("vec_id like '%00'")).collect()
+    assert {tuple(x) for x in found} == brute_nearest({f"v{i:05}": v > 0 for i, v in enumerate(vectors)}, [f"v{i:05}" for i in range(0, len(vectors), 100)])
+    assert max(radii) <= 1  # six bits at most, and m * 2 - 1 are covered
+
+
+def test_segments_cut_codes_wherever_they_begin(spark):
+    value = (0x9F3A << 56) | 0x17
+    row = spark.range(1).select(F.lit(value & (2**64 - 1)).cast("decimal(20)").alias("x"))
+    low = value & (2**64 - 1)
+    words = [F.lit(low - 2**64 if low >= 2**63 else low).cast("long"), F.lit(value >> 64).cast("long")]
+    got = row.select(*(hamming.segment(words, lo, bits).alias(f"s{lo}") for lo, bits in [(0, 8), (56, 16), (60, 7)])).first()
+    assert tuple(got) == tuple(value >> lo & (1 << bits) - 1 for lo, bits in [(0, 8), (56, 16), (60, 7)])

@@ -37,14 +37,9 @@ SEGMENT = 16
 
 def sign_code(vector: Column, dims: int) -> list[Column]:
     """The code as longs of 64 bits each."""
-    out = []
-    for lo in range(0, dims, 64):
-        bits = [F.when((F.try_element_at(vector, F.lit(i + 1)) > 0) & ~F.isnan(F.try_element_at(vector, F.lit(i + 1))), F.lit(1 << (i - lo) if i - lo < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(lo, min(dims, lo + 64))]
-        word = bits[0]
-        for b in bits[1:]:
-            word = word.bitwiseOR(b)
-        out.append(word)
-    return out
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    bit = lambda x, i: F.when((x > 0) & ~F.isnan(x), F.call_function("shiftleft", one, i)).otherwise(none)
+    return [F.aggregate(F.transform(F.slice(vector, lo + 1, min(64, dims - lo)), bit), none, lambda a, b: a.bitwiseOR(b)) for lo in range(0, dims, 64)]
 
 
 def flips(bits: int, radius: int) -> list[int]:

@@ -33,8 +33,8 @@ def money(c: Column) -> Column:
     has_comma, has_point = F.contains(number, F.lit(",")), F.contains(number, F.lit("."))
     european = F.replace(F.replace(number, F.lit(".")), F.lit(","), F.lit("."))
     plain = F.replace(number, F.lit(","))
-    decimal_comma = number.rlike(r",\d{2}$")
-    chosen = F.when(has_comma & has_point, F.when(comma > point, european).otherwise(plain)).when(has_comma, F.when(decimal_comma, F.concat(F.replace(F.regexp_replace(number, r",\d{2}$", ""), F.lit(",")), F.lit("."), F.right(number, F.lit(2)))).otherwise(plain)).otherwise(number)
+    lone = F.replace(number, F.lit(","), F.when(number.rlike(r",\d{2}$"), F.lit(".")).otherwise(F.lit("")))  # several decimal commas are unreadable
+    chosen = F.when(has_comma & has_point, F.when(comma > point, european).otherwise(plain)).when(has_comma, lone).otherwise(number)
     return F.when(~joined.rlike(r"\d[eE][+-]?\d"), F.round(chosen.try_cast("double"), 4))
 
 

@@ -46,11 +46,6 @@ def class_census(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return count(old, "old_n").join(count(new, "new_n"), [*keys, "token"], "full").fillna(0, ["old_n", "new_n"])
 
 
-def _subsequence(short: Column, long: Column) -> Column:
-    """Whether the elements of short occur in long in order."""
-    return F.aggregate(long, F.lit(1), lambda at, x: F.when((at <= F.size(short)) & (F.try_element_at(short, at) == x), at + 1).otherwise(at)) > F.size(short)
-
-
 def page_strings(html: str | None) -> list[str]:
     """Every scalar of the page's JSON scripts as normal text, each once, sorted."""
     found: set[str] = set()
@@ -92,20 +87,21 @@ def edits(old: DataFrame, new: DataFrame, keys: list[str], blobs: DataFrame | No
         F.count("*").alias("shared"),
         F.count_if((F.size(F.array_except("o_classes", "n_classes")) > 0) & (F.size(F.array_except("n_classes", "o_classes")) > 0)).alias("renamed"),
         F.count_if(c("o_tag") != c("n_tag")).alias("swapped"),
-        F.count_if((F.size("n_tag_path") > F.size("o_tag_path")) & (c("o_tag") == c("n_tag"))).alias("wrapped"),
-        F.count_if((F.size("n_tag_path") <= F.size("o_tag_path")) & (c("o_tag") == c("n_tag")) & (c("n_tag_path") != c("o_tag_path"))).alias("moved"),
+        F.count_if(F.size("n_tag_path") > F.size("o_tag_path")).alias("wrapped"),
+        F.count_if((F.size("n_tag_path") <= F.size("o_tag_path")) & (c("n_tag_path") != c("o_tag_path"))).alias("moved"),
         F.sum(F.size(F.array_except(F.map_keys("o_attrs"), F.map_keys("n_attrs")))).alias("dropped"),
     )
     census = class_census(old, new, keys)
     gone = census.groupBy(*keys).agg(F.count_if((c("old_n") > 0) & (c("new_n") == 0)).alias("gone"), F.count_if((c("old_n") == 0) & (c("new_n") > 0)).alias("came"))
-    page = lambda df, p: df.groupBy(*keys).agg(F.count_if((c("tag") == "script") & F.coalesce(c("attrs")["type"], F.lit("")).contains("json") | F.array_contains(F.map_keys("attrs"), "itemprop")).alias(f"{p}_data"), F.max(F.when(c("tag") == "body", F.char_length("text"))).alias(f"{p}_chars"))
+    scripts, marked = (c("tag") == "script") & F.coalesce(c("attrs")["type"], F.lit("")).contains("json"), F.array_contains(F.map_keys("attrs"), "itemprop")
+    page = lambda df, p: df.groupBy(*keys).agg(F.count_if(scripts).alias(f"{p}_scripts"), F.count_if(marked).alias(f"{p}_marked"), F.max(F.when(c("tag") == "body", F.char_length("text"))).alias(f"{p}_chars"))
     texts = lambda df: leaves(df).select(*keys, "text").distinct()
     lost = texts(old).join(texts(new), [*keys, "text"], "left_anti")
     old_texts = texts(old).groupBy(*keys).agg(F.count("*").alias("texts"))
     hidden = lost.withColumn("core", core_key(F.col("text"))).join(blobs.select(*keys, core_key(F.col("text")).alias("core")).distinct(), [*keys, "core"], "left_semi").groupBy(*keys).agg(F.count("*").alias("hidden")) if blobs is not None else None
     lost_n = lost.groupBy(*keys).agg(F.count("*").alias("lost"))
     fresh = leaves(new).select(*keys, "text", F.explode("classes").alias("token")).join(texts(old), [*keys, "text"], "left_anti").select(*keys, "token").distinct()
-    decoys = census.where((c("old_n") >= 2) & (c("new_n") >= 1.6 * c("old_n"))).join(fresh, [*keys, "token"], "left_semi").groupBy(*keys).agg(F.sum(c("new_n") - c("old_n")).alias("decoys"))
+    decoys = census.where((c("old_n") >= 2) & (c("new_n") >= 1.6 * c("old_n"))).join(fresh, [*keys, "token"], "left_semi").groupBy(*keys).agg(F.count("*").alias("decoys"))
     w = Window.partitionBy(*keys)
     ranked = shared.select(*keys, "o_node_id", "n_node_id").withColumn("a", F.row_number().over(w.orderBy("o_node_id"))).where(c("a") <= ANCHORS)
     pairs = ranked.alias("x").join(ranked.alias("y"), keys).where("x.a < y.a").groupBy(*keys).agg((F.count_if(c("x.n_node_id") < c("y.n_node_id")) / F.count("*")).alias("order"), F.max("y.a").alias("anchored"))
@@ -114,12 +110,13 @@ def edits(old: DataFrame, new: DataFrame, keys: list[str], blobs: DataFrame | No
         table = table.join(part, keys, "left")
     z = lambda name: F.coalesce(c(name), F.lit(0)) if name in table.columns else F.lit(0)
     deferred = (z("n_chars") < 0.6 * z("o_chars")) & (z("hidden") >= F.greatest(F.lit(3.0), 0.3 * z("lost")))
+    gone_data = (z("o_scripts") > 0) & (z("n_scripts") == 0) | (z("o_marked") > 0) & (z("n_marked") == 0)
     counts = {
         "CLASS_RENAME": F.when((z("renamed") > 0) | (z("gone") > 0) & (z("came") > 0), F.greatest(z("renamed"), z("gone"))),
         "TAG_SWAP": z("swapped"), "WRAPPER_INSERTED": z("wrapped"), "SUBTREE_MOVED": z("moved"), "ATTR_DROPPED": z("dropped"),
-        "STRUCTURED_DATA_DROPPED": F.when((z("o_data") > 0) & (z("n_data") == 0), z("o_data")), "CONTENT_DEFERRED": F.when(deferred, z("hidden")),
+        "STRUCTURED_DATA_DROPPED": F.when(gone_data, F.greatest(z("o_scripts") - z("n_scripts") + z("o_marked") - z("n_marked"), F.lit(1))), "CONTENT_DEFERRED": F.when(deferred, z("hidden")),
         "CONTENT_CHANGED": F.when(~deferred & (z("lost") > 0.3 * z("texts")), z("lost")), "DECOY_INJECTED": z("decoys"),
-        "RECORDS_REORDERED": F.when((z("anchored") >= 10) & (z("shared") >= 0.65 * z("texts")) & (z("order") < 0.95), z("shared")),
+        "RECORDS_REORDERED": F.when((z("anchored") >= 10) & (z("shared") >= 0.65 * z("texts")) & (z("order") < 0.95), F.lit(1)),
     }
     rows = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(k).alias("kind"), F.coalesce(n, F.lit(0)).cast("long").alias("n"), F.lit(WEIGHTS[k]).alias("weight")) for i, (k, n) in enumerate(counts.items())))
     found = table.select(*keys, F.explode(rows).alias("e")).select(*keys, "e.*").where("n > 0")

@@ -49,11 +49,11 @@ def dom_nodes(pages: DataFrame, keys: list[str], html_col: str = "html") -> Data
     return pages.select(*keys, html_col).mapInPandas(run, f"{kinds}, {NODES}")
 
 
-def descendants(above: DataFrame, below: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, a_id, d_id): containment pairs of two sets of nodes."""
+def descendants(above: DataFrame, below: DataFrame, keys: list[str], carry: list[str] | None = None) -> DataFrame:
+    """(keys, a_id, d_id): containment pairs of two sets of nodes; ``carry``: further columns of the inner ones."""
     a = above.select(*keys, F.col("node_id").alias("a_id"), F.col("last_desc").alias("a_last"))
-    d = below.select(*keys, F.col("node_id").alias("d_id"))
-    return a.join(d, keys).where((F.col("d_id") > F.col("a_id")) & (F.col("d_id") <= F.col("a_last"))).select(*keys, "a_id", "d_id")
+    d = below.select(*keys, F.col("node_id").alias("d_id"), *(carry or []))
+    return a.join(d, keys).where((F.col("d_id") > F.col("a_id")) & (F.col("d_id") <= F.col("a_last"))).select(*keys, "a_id", "d_id", *(carry or []))
 
 
 def sibling_groups(nodes: DataFrame, keys: list[str], least: int = 3) -> DataFrame:

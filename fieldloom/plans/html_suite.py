@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fieldloom.operators import diff, dom
 from fieldloom.plans.values_suite import table
 from fieldloom.sources import extract
+from fieldloom.sources.store import stored
 
 SPEC = {
     "site": "pages", "version": 1, "record_selector": [{"kind": "css", "q": "article"}],
@@ -30,10 +31,10 @@ Q_HTML_TITLE = f"SELECT page_id, 0::BIGINT AS record, {SPACES.format(DECODE.form
 
 
 def q_html_links(spark, sf_dir):
-    nodes = dom.dom_nodes(table(spark, sf_dir, "pages"), ["page_id"])
-    inside = dom.descendants(nodes.where("tag = 'nav'"), nodes.where("tag = 'a'"), ["page_id"])
-    links = inside.join(nodes.select("page_id", F.col("node_id").alias("d_id"), F.col("attrs")["href"].alias("href")), ["page_id", "d_id"])
-    return links.groupBy("page_id").agg(F.count("*").alias("n_hits"), F.min(F.struct("d_id", "href"))["href"].alias("first_href"))
+    nodes = dom.dom_nodes(table(spark, sf_dir, "pages"), ["page_id"]).where("tag in ('nav', 'a')").select("page_id", "node_id", "last_desc", "tag", F.col("attrs")["href"].alias("href"))
+    nodes = stored(nodes)  # parsed once for both sides
+    inside = dom.descendants(nodes.where("tag = 'nav'"), nodes.where("tag = 'a'"), ["page_id"], carry=["href"]).dropDuplicates(["page_id", "d_id"])
+    return inside.groupBy("page_id").agg(F.count("*").alias("n_hits"), F.min(F.struct("d_id", "href"))["href"].alias("first_href"))
 
 
 Q_HTML_LINKS = f"SELECT page_id, len(h) AS n_hits, {DECODE.format('h[1]')} AS first_href FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href=\"([^\"]*)\"', 1) AS h FROM pages) WHERE len(h) > 0"
@@ -49,10 +50,14 @@ Q_HTML_COUNTS = "SELECT page_id, " + ", ".join(f"len(regexp_extract_all(html, '<
 
 def q_sibling_groups(spark, sf_dir):
     groups = dom.sibling_groups(dom.dom_nodes(table(spark, sf_dir, "pages"), ["page_id"]), ["page_id"])
-    return groups.where("tag = 'li'").groupBy("page_id").agg(F.sum("n").alias("members"), F.count("*").alias("groups"))
+    return groups.groupBy("page_id", "tag").agg(F.sum("n").alias("members"), F.count("*").alias("groups"))
 
 
-Q_SIBLING_GROUPS = "SELECT page_id, len(l)::BIGINT AS members, 1::BIGINT AS groups FROM (SELECT page_id, regexp_extract_all(html, '<li>') AS l FROM pages) WHERE len(l) >= 3"
+Q_SIBLING_GROUPS = """
+WITH t AS (SELECT page_id, unnest(['li', 'p']) AS tag, unnest([len(regexp_extract_all(html, '<li>')), len(regexp_extract_all(a, '<p>'))]) AS n
+  FROM (SELECT page_id, html, regexp_extract(html, '<article>.*', 0, 's') AS a FROM pages))
+SELECT page_id, tag, n::BIGINT AS members, 1::BIGINT AS groups FROM t WHERE n >= 3
+"""
 
 
 def _tag_sets(spark, sf_dir):
@@ -64,12 +69,12 @@ def _tag_sets(spark, sf_dir):
 
 def q_diff_class_census(spark, sf_dir):
     old, new = _tag_sets(spark, sf_dir)
-    return diff.class_census(old, new, ["site"]).where("token in ('ad', 'article', 'nav', 'li', 'h1', 'footer', 'br')").select("token", "old_n", "new_n")
+    return diff.class_census(old, new, ["site"]).select("token", "old_n", "new_n")
 
 
 Q_DIFF_CLASS_CENSUS = """
-WITH t AS (SELECT page_id % 2 AS side, unnest(regexp_extract_all(regexp_replace(html, '<script>.*?</script>', '', 's'), '<(article|nav|li|h1|footer|br|div class="ad")>', 1)) AS tag FROM pages)
-SELECT CASE WHEN tag LIKE 'div%' THEN 'ad' ELSE tag END AS token, count(*) FILTER (side = 0) AS old_n, count(*) FILTER (side = 1) AS new_n FROM t GROUP BY 1
+WITH t AS (SELECT page_id % 2 AS side, unnest(regexp_extract_all(regexp_replace(html, '(<script[^>]*>).*?</script>', '\\1', 'sg'), '<[a-z][a-z0-9]*(?: class="ad")?', 0)) AS tag FROM pages)
+SELECT CASE WHEN tag LIKE '%"ad"' THEN 'ad' ELSE tag[2:] END AS token, count(*) FILTER (side = 0) AS old_n, count(*) FILTER (side = 1) AS new_n FROM t GROUP BY 1
 """
 
 

@@ -50,17 +50,17 @@ FROM (SELECT *, {NAMES_SQL} AS n FROM region, {LOCATORS_SQL})
 
 def _candidates(spark, sf_dir):
     """Nine columns of line items as candidates for the known-good set of first quantities."""
-    items = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0")
+    items = table(spark, sf_dir, "lineitem")
     names = ["l_quantity", "l_linenumber", "l_tax", "l_discount", "l_suppkey", "l_partkey", "l_extendedprice", "l_orderkey", "l_quantity_or_tax"]
     value = {n: F.col(n).cast("double") for n in names[:-1]} | {"l_quantity_or_tax": F.when(F.col("l_linenumber") % 2 == 0, F.col("l_tax")).otherwise(F.col("l_quantity"))}
     rows = items.select("l_returnflag", F.explode(F.array(*(F.struct(F.lit(n).alias("signature"), value[n].alias("value"), (F.col("l_linenumber") % 3).alias("n_hits")) for n in names))).alias("c")).select("l_returnflag", "c.*")
-    known = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").select(F.col("l_quantity").alias("value")).distinct().withColumn("known", F.lit(True))
+    known = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("value")).distinct().withColumn("known", F.lit(True))
     found = candidates.evaluate(rows.join(known, "value", "left"), ["l_returnflag", "signature"])
     return candidates.ranked(found.withColumns({"prior": F.char_length("signature") / 20, "survives": F.contains("signature", F.lit("tax"))}), ["l_returnflag"])
 
 
 CANDIDATES_SQL = """
-WITH i AS (SELECT * FROM lineitem WHERE l_orderkey % 4 = 0),
+WITH i AS (SELECT * FROM lineitem),
 h AS (SELECT l_returnflag, l_linenumber % 3 AS n_hits, unnest([{'s': 'l_quantity', 'v': l_quantity::DOUBLE}, {'s': 'l_linenumber', 'v': l_linenumber::DOUBLE}, {'s': 'l_tax', 'v': l_tax}, {'s': 'l_discount', 'v': l_discount}, {'s': 'l_suppkey', 'v': l_suppkey::DOUBLE}, {'s': 'l_partkey', 'v': l_partkey::DOUBLE},
   {'s': 'l_extendedprice', 'v': l_extendedprice}, {'s': 'l_orderkey', 'v': l_orderkey::DOUBLE}, {'s': 'l_quantity_or_tax', 'v': CASE WHEN l_linenumber % 2 = 0 THEN l_tax ELSE l_quantity END}]) AS c FROM i),
 k AS (SELECT DISTINCT l_quantity AS v FROM i), e AS (SELECT l_returnflag, c.s AS signature, avg((k.v IS NOT NULL)::INT) AS recovery, avg((c.v IS NOT NULL)::INT) AS coverage, avg(n_hits) AS n_hits_mean FROM h LEFT JOIN k ON c.v = k.v GROUP BY 1, 2),
@@ -194,36 +194,6 @@ SELECT count(*) AS cases, count(*) FILTER (d) AS n_degraded, round(count(*) FILT
 """
 
 
-def q_decoy(spark, sf_dir):
-    """Event types as class tokens: those that grew by .6 at least and carry a new text."""
-    e = halves(spark, sf_dir).where("user_id % 3 = 0 or side = 1").select(F.lit("all").alias("site"), "side", F.array("event_type").alias("classes"), F.concat_ws("-", "event_type", F.col("event_id") % 9000).alias("text"))
-    census = diff.class_census(e.where("side = 0"), e.where("side = 1"), ["site"])
-    fresh = e.where("side = 1").join(e.where("side = 0").select("text").distinct(), "text", "left_anti").select(F.col("classes")[0].alias("token")).distinct()
-    return census.where("old_n >= 2 and new_n >= 1.6 * old_n").join(fresh, "token", "left_semi").select("token", "old_n", "new_n")
-
-
-Q_DECOY = f"""
-WITH e AS (SELECT event_type, event_type || '-' || event_id % 9000 AS props, (ts >= TIMESTAMP '{HALF}')::INT AS side FROM events WHERE user_id % 3 = 0 OR ts >= TIMESTAMP '{HALF}'), c AS (SELECT event_type AS token, count(*) FILTER (side = 0) AS old_n, count(*) FILTER (side = 1) AS new_n FROM e GROUP BY 1)
-SELECT token, old_n, new_n FROM c WHERE old_n >= 2 AND new_n >= 1.6 * old_n AND token IN (SELECT event_type FROM e WHERE side = 1 AND props NOT IN (SELECT props FROM e WHERE side = 0 AND props IS NOT NULL))
-"""
-
-
-def q_edit_rank(spark, sf_dir):
-    """Rules ranked by weight, count and order, with counts from orders by month."""
-    rules = list(diff.WEIGHTS.items())
-    kind = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(k).alias("kind"), F.lit(w).alias("weight")) for i, (k, w) in enumerate(rules)))
-    counts = table(spark, sf_dir, "orders").groupBy("o_orderpriority", (F.col("o_orderkey") % len(rules)).cast("int").alias("i")).agg(F.count("*").alias("n"))
-    rows = counts.select("o_orderpriority", "n", F.element_at(kind, F.col("i") + 1).alias("k")).select("o_orderpriority", "n", "k.*")
-    place = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.desc("weight"), F.desc("n"), "ord"))
-    return rows.select("o_orderpriority", "kind", "n", place.cast("long").alias("place"))
-
-
-Q_EDIT_RANK = (
-    "WITH k AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', {w})" for i, (k, w) in enumerate(diff.WEIGHTS.items())) + ") t(ord, kind, weight)), "
-    f"c AS (SELECT o_orderpriority, o_orderkey % {len(diff.WEIGHTS)} AS ord, count(*) AS n FROM orders GROUP BY ALL) SELECT o_orderpriority, kind, n, row_number() OVER (PARTITION BY o_orderpriority ORDER BY weight DESC, n DESC, ord) AS place FROM c JOIN k USING (ord)"
-)
-
-
 # --- the ten signals: events of the first half of January are the baseline, of the second a broken run -------------
 
 
@@ -336,6 +306,6 @@ def q_health_record(spark, sf_dir):
 
 Q_HEALTH_RECORD = f"WITH {HEADERS_SQL}, p AS (SELECT source, 1 - product(1 - m * weight) AS score, count(*) AS n_signals FROM hs WHERE m IS NOT NULL GROUP BY 1) SELECT source, round(score, 6) AS score, CASE WHEN score >= 0.6 - 1e-12 THEN 'critical' WHEN score >= 0.3 THEN 'warn' ELSE 'ok' END AS severity, n_signals FROM p"
 
-QUERIES = {f.__name__: f for f in (q_prior, q_strategy, q_candidate_score, q_ambiguity, q_recall, q_promote, q_spec_lineage, q_gates, q_truth_unique, q_truth_descent, q_truth_leak, q_eval_summary, q_decoy, q_edit_rank, q_sig_record, q_health, q_health_record, *map(_signal_query, FIELD_SIGNALS))}
+QUERIES = {f.__name__: f for f in (q_prior, q_strategy, q_candidate_score, q_ambiguity, q_recall, q_promote, q_spec_lineage, q_gates, q_truth_unique, q_truth_descent, q_truth_leak, q_eval_summary, q_sig_record, q_health, q_health_record, *map(_signal_query, FIELD_SIGNALS))}
 SQL = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}
 SQL |= {f"q_sig_{s}": f"WITH {RUN_SQL} SELECT field, round(m::DOUBLE, 6) AS magnitude FROM sig WHERE signal = '{s}' AND m IS NOT NULL" for s in FIELD_SIGNALS}

@@ -161,13 +161,15 @@ Q_MULTISET_F1 = f"WITH {TWO_RUNS} SELECT l_returnflag, round(pr, 6) AS precision
 
 
 def q_record_em(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linenumber", "l_linestatus", F.col("l_quantity").cast("bigint").alias("q"), "l_orderkey")
+    """Line items against themselves with another quantity on every third line of an order."""
+    items = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linenumber", "l_linestatus", F.col("l_quantity").cast("bigint").alias("q"))
     fields = ["l_linenumber", "l_linestatus", "q"]
-    return scoring.exact_records(items.where("l_orderkey % 3 <> 0"), items.where("l_orderkey % 2 = 0"), ["l_returnflag"], fields).select("l_returnflag", "matched", "true", r6(F.col("record_em"), "record_em"))
+    changed = items.withColumn("q", F.col("q") + (F.col("l_linenumber") % 3 == 0).cast("bigint"))
+    return scoring.exact_records(changed, items, ["l_returnflag"], fields).select("l_returnflag", "matched", "true", r6(F.col("record_em"), "record_em"))
 
 
 Q_RECORD_EM = """
-WITH t AS (SELECT l_returnflag, l_linenumber, l_linestatus, l_quantity::BIGINT AS q, count(*) AS t FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY ALL), p AS (SELECT l_returnflag, l_linenumber, l_linestatus, l_quantity::BIGINT AS q, count(*) AS p FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY ALL)
+WITH t AS (SELECT l_returnflag, l_linenumber, l_linestatus, l_quantity::BIGINT AS q, count(*) AS t FROM lineitem GROUP BY ALL), p AS (SELECT l_returnflag, l_linenumber, l_linestatus, l_quantity::BIGINT + (l_linenumber % 3 = 0)::BIGINT AS q, count(*) AS p FROM lineitem GROUP BY ALL)
 SELECT l_returnflag, sum(least(t, coalesce(p, 0)))::BIGINT AS matched, sum(t)::BIGINT AS true, round(sum(least(t, coalesce(p, 0))) / sum(t), 6) AS record_em FROM t LEFT JOIN p USING (l_returnflag, l_linenumber, l_linestatus, q) GROUP BY 1
 """
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.plans import heal_suite, html_suite, repair_suite, stats_suite, values_suite
+from fieldloom.plans import diff_suite, heal_suite, html_suite, repair_suite, stats_suite, values_suite
 
-MODULES = (html_suite, values_suite, stats_suite, repair_suite, heal_suite)
+MODULES = (html_suite, values_suite, stats_suite, repair_suite, diff_suite, heal_suite)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def money_text():
-    """Order totals rendered in six ways, by key: two unreadable."""
+    """Order totals rendered in six ways, by key: one unreadable, one so from a thousand on."""
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
     whole, rest = F.floor(cents / 100).cast("bigint"), F.lpad((cents % 100).cast("string"), 2, "0")
     low = F.lpad((whole % 1000).cast("string"), 3, "0")
@@ -23,13 +23,13 @@ def money_text():
     grouped = lambda s: F.when(whole >= 1000, F.concat(high, F.lit(s), low)).otherwise(whole.cast("string"))
     return (
         F.when(k == 0, F.concat(F.lit("$"), grouped(","), F.lit("."), rest)).when(k == 1, F.concat(F.lit("EUR "), grouped("."), F.lit(","), rest)).when(k == 2, F.concat(grouped(" "), F.lit(","), rest))
-        .when(k == 3, F.concat(F.lit("USD "), whole.cast("string"), F.lit(","), rest)).when(k == 4, F.lit("1e5")).otherwise(F.lit("n/a"))
+        .when(k == 3, F.concat(F.lit("USD "), whole.cast("string"), F.lit(","), rest)).when(k == 4, F.lit("1e5")).otherwise(F.concat(grouped(","), F.lit(","), rest))
     )
 
 
 MONEY_TEXT_SQL = """
   SELECT o_orderkey, k, CASE k WHEN 0 THEN '$' || replace(g, '_', ',') || '.' || r WHEN 1 THEN 'EUR ' || replace(g, '_', '.') || ',' || r
-    WHEN 2 THEN replace(g, '_', ' ') || ',' || r WHEN 3 THEN 'USD ' || w || ',' || r WHEN 4 THEN '1e5' ELSE 'n/a' END AS t
+    WHEN 2 THEN replace(g, '_', ' ') || ',' || r WHEN 3 THEN 'USD ' || w || ',' || r WHEN 4 THEN '1e5' ELSE replace(g, '_', ',') || ',' || r END AS t
   FROM (SELECT o_orderkey, o_orderkey % 6 AS k, w, lpad((c % 100)::VARCHAR, 2, '0') AS r,
       CASE WHEN w >= 1000 THEN (w // 1000)::VARCHAR || '_' || lpad((w % 1000)::VARCHAR, 3, '0') ELSE w::VARCHAR END AS g
     FROM (SELECT o_orderkey, c, c // 100 AS w FROM (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS c FROM orders)))
@@ -44,7 +44,7 @@ Q_T_MONEY = f"""
 WITH x AS ({MONEY_TEXT_SQL}), j AS (SELECT *, regexp_extract(CASE WHEN k = 2 THEN replace(t, ' ', '') ELSE t END, '-?[0-9][0-9.,]*') AS n FROM x)
 SELECT o_orderkey, t AS rendered, CASE WHEN regexp_matches(t, '[0-9][eE][+-]?[0-9]') THEN NULL
   WHEN contains(n, ',') AND contains(n, '.') THEN CASE WHEN length(n) - instr(reverse(n), ',') > length(n) - instr(reverse(n), '.') THEN TRY_CAST(replace(replace(n, '.', ''), ',', '.') AS DOUBLE) ELSE TRY_CAST(replace(n, ',', '') AS DOUBLE) END
-  WHEN contains(n, ',') THEN CASE WHEN regexp_matches(n, ',[0-9][0-9]$') THEN TRY_CAST(replace(left(n, length(n) - 3), ',', '') || '.' || right(n, 2) AS DOUBLE) ELSE TRY_CAST(replace(n, ',', '') AS DOUBLE) END
+  WHEN contains(n, ',') THEN CASE WHEN regexp_matches(n, ',[0-9][0-9]$') THEN TRY_CAST(replace(n, ',', '.') AS DOUBLE) ELSE TRY_CAST(replace(n, ',', '') AS DOUBLE) END
   ELSE TRY_CAST(n AS DOUBLE) END AS amount FROM j
 """
 

@@ -6,6 +6,7 @@ through Spark's commit protocol.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -15,18 +16,36 @@ from pyspark.sql import functions as F
 from fieldloom.operators.memory import EPISODE
 
 
+_scratch: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; a new one of our own where that is unset and all runs in one process."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if (spark.sparkContext.master or "").split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share: operators store tables there")
         known = "file://" + tempfile.mkdtemp(prefix="fieldloom-")
         spark.sparkContext.setCheckpointDir(known)
     return known
 
 
+def _sweep() -> None:
+    """Deletes what ``stored`` wrote, when the driver ends."""
+    for spark, path in _scratch:
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the context is gone already: the folder belongs to the cluster
+            break
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage, survives executors."""
+    """df written to the shared folder and read again: cuts lineage, survives executors; it goes when the driver ends."""
+    if not _scratch:
+        atexit.register(_sweep)
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/step-{uuid.uuid4().hex}"
+    _scratch.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

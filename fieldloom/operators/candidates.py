@@ -83,8 +83,14 @@ def ambiguous(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.withColumn("next", F.lead("score").over(w)).where("place = 1").select(*keys, F.coalesce((F.col("next").isNotNull()) & ((F.col("score") - F.col("next") < 0.08) | (F.col("recovery") < 0.99)), F.lit(False)).alias("ambiguous"))
 
 
-def root_score(recovery: Column, fit: Column, prior_: Column) -> Column:
-    return 0.45 * recovery + 0.35 * fit + 0.20 * prior_
+def evaluate_locator(hits: DataFrame, old_hits: DataFrame, by: list[str], blind: bool = False) -> DataFrame:
+    """The measures and the score of proposed locators by the same arithmetic as candidates; one that covers nothing has no row.
+
+    ``by`` ends with the locator's signature and has kind, q and attr; both sides as for ``evaluate``.
+    """
+    then = evaluate(old_hits, by).select(*by, (F.col("recovery") >= 0.9).alias("survives"))
+    found = evaluate(hits, by).join(then, by, "left").withColumn("survives", F.coalesce("survives", F.lit(False))).withColumn("prior", prior(F.col("kind"), F.col("q"), F.col("attr")))
+    return found.withColumn("score", score(*(F.col(c) for c in ("recovery", "coverage", "prior", "survives", "n_hits_mean")), blind)).withColumn("strategy_class", strategy(F.col("kind"), F.col("q"), F.col("attr")))
 
 
 # --- generation inside a page: driver-sized, bounded by the constants above --------------------------------
@@ -232,7 +238,3 @@ def root_candidates(page: extract.Page, spec: dict, known: set[str]) -> list[dic
             q = f"//{above.tag}/{first.tag}[.//{tag}]"
             out.setdefault(q, {"kind": "xpath", "q": q})
     return list(out.values())
-
-
-def recovery_rate(hits: DataFrame, keys: list[str]) -> DataFrame:
-    return hits.groupBy(*keys).agg(share(F.count_if("known"), F.count(F.lit(1))).alias("recovery"))

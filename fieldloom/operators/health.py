@@ -100,11 +100,12 @@ def baseline_of(results: DataFrame, keys: list[str]) -> DataFrame:
     """The baseline that one run gives: field statistics and the first 400 present values in record order."""
     by = [*keys, "field"]
     first = stats.first_values(results, by, ["record"], "value", SAMPLE_CAP).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("place", "value", "number"))).alias("sample"))
-    return field_stats(results, keys).join(first, by, "left").withColumn("sample", F.coalesce("sample", F.array().cast("array<struct<place:bigint,value:string,number:double>>")))
+    passed = 1 - stats.share(F.coalesce("failed", F.lit(0)), F.col("n"))
+    return field_stats(results, keys).withColumn("validator_pass", passed).join(tier_shares(results, keys), by, "left").join(first, by, "left").withColumn("sample", F.coalesce("sample", F.array().cast("array<struct<place:bigint,value:string,number:double>>")))
 
 
-def signals(results: DataFrame, baseline: DataFrame, keys: list[str], as_of: str, floors: dict[str, float] | None = None) -> DataFrame:
-    """(keys, field, signal, magnitude) of every field signal that fires."""
+def signals(results: DataFrame, baseline: DataFrame, keys: list[str], as_of: str, floors: DataFrame | None = None) -> DataFrame:
+    """(keys, field, signal, magnitude) of every field signal that fires; ``floors``: keys, field, floor (else .95)."""
     by = [*keys, "field"]
     now = field_stats(results, keys)
     base = baseline.select(*by, *(F.col(c).alias(f"b_{c}") for c in ("fill", "distinct_rate", "numeric", "median", "iqr", "len_mean", "all_positive", "match_mean", "modal_tier")), "sample")
@@ -128,9 +129,9 @@ def signals(results: DataFrame, baseline: DataFrame, keys: list[str], as_of: str
     for part in (now, moved, ks, tvd, words, unseen, overlap, dated, distinct_base):
         joined = joined.join(part, by, "left")
     c = F.col
-    floor = F.lit(0.95)
-    for name, value in (floors or {}).items():
-        floor = F.when(c("field") == name, F.lit(float(value))).otherwise(floor)
+    if floors is not None:
+        joined = joined.join(floors.select(*by, "floor"), by, "left")
+    floor = F.coalesce(c("floor"), F.lit(0.95)) if floors is not None else F.lit(0.95)
     zero = lambda name: F.coalesce(c(name), F.lit(0))
     numeric = zero("present") > 0
     category = (c("b_distinct_rate") < 0.35) & (c("b_values") <= 12)
@@ -176,13 +177,18 @@ def report(found: DataFrame, keys: list[str]) -> DataFrame:
     return h.withColumn("fired", F.max((F.col("severity") == "critical").cast("int")).over(w) == 1).withColumn("place", F.row_number().over(w.orderBy(F.col("score").desc(), "field")))
 
 
+def _moved(was: Column, now: Column, alpha: float) -> Column:
+    """One step of the moving average."""
+    return stats.ewma(F.array(F.struct(F.lit(0).alias("ord"), was.cast("double").alias("value")), F.struct(F.lit(1).alias("ord"), now.cast("double").alias("value"))), alpha)
+
+
 def fold_baseline(old: DataFrame, new: DataFrame, keys: list[str], alpha: float = 0.3) -> DataFrame:
     """The baseline after one more run: averages move by alpha, the rest is the newest run's; samples unite.
 
     A field that the new run lacks keeps its old row.
     """
     by = [*keys, "field"]
-    smooth = ("fill", "distinct_rate", "match_mean")
+    smooth = ("fill", "distinct_rate", "match_mean", "validator_pass")
     a = old.select(*by, *(F.col(c).alias(f"o_{c}") for c in old.columns if c not in by))
     both = a.join(new, by, "full")
     out = []
@@ -190,7 +196,7 @@ def fold_baseline(old: DataFrame, new: DataFrame, keys: list[str], alpha: float
         if c in by:
             out.append(F.col(c))
         elif c in smooth:
-            out.append(F.when(F.col(c).isNull(), F.col(f"o_{c}")).when(F.col(f"o_{c}").isNull(), F.col(c)).otherwise((1 - alpha) * F.col(f"o_{c}") + alpha * F.col(c)).alias(c))
+            out.append(F.when(F.col(c).isNull(), F.col(f"o_{c}")).when(F.col(f"o_{c}").isNull(), F.col(c)).otherwise(_moved(F.col(f"o_{c}"), F.col(c), alpha)).alias(c))
         elif c == "all_positive":
             out.append((F.coalesce(F.col(f"o_{c}"), F.lit(True)) & F.coalesce(F.col(c), F.lit(True))).alias(c))
         elif c == "sample":
@@ -203,5 +209,32 @@ def fold_baseline(old: DataFrame, new: DataFrame, keys: list[str], alpha: float
     return both.select(*out)
 
 
-def modal_tiers(results: DataFrame, keys: list[str]) -> DataFrame:
-    return stack.modal(results, [*keys, "field"], "tier", "modal_tier")
+def fold_site(old: DataFrame, new: DataFrame, keys: list[str], alpha: float = 0.3) -> DataFrame:
+    """The site's baseline after one more run: record count and shape entropy move by alpha, the root's tier is the newest run's."""
+    both = old.select(*keys, *(F.col(c).alias(f"o_{c}") for c in ("n_records", "root_tier", "shape_entropy"))).join(new.select(*keys, "n_records", "root_tier", "shape_entropy"), keys, "full")
+    moved = lambda c: _moved(F.coalesce(f"o_{c}", c), F.coalesce(c, f"o_{c}"), alpha).alias(c)
+    return both.select(*keys, moved("n_records"), F.coalesce("root_tier", "o_root_tier").alias("root_tier"), moved("shape_entropy"))
+
+
+def tier_shares(results: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, field, tier_share: map of tier to its share of the values that have one)."""
+    by = [*keys, "field"]
+    n = results.where("tier is not null").groupBy(*by, "tier").agg(F.count("*").alias("n"))
+    shares = n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
+    return shares.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tier", "share")))).alias("tier_share"))
+
+
+def baseline_summary(baseline: DataFrame, keys: list[str]) -> DataFrame:
+    """One text for each field of a baseline."""
+    text = F.format_string("fill %.2f, tier %s, distinct %.2f, %s", "fill", F.coalesce(F.col("modal_tier").cast("string"), F.lit("none")), "distinct_rate", F.when(F.col("numeric"), F.format_string("median %.2f iqr %.2f", "median", "iqr")).otherwise(F.format_string("length %.1f", F.coalesce("len_mean", F.lit(0.0)))))
+    return baseline.select(*keys, "field", text.alias("summary"))
+
+
+def detection_summary(cases: DataFrame) -> DataFrame:
+    """One row from (degraded, silent, fired, warned): degraded and silent cases caught, and alarms on healthy ones."""
+    c = F.col
+    healthy = ~c("degraded")
+    return cases.agg(
+        F.count("*").alias("cases"), F.count_if(c("degraded")).alias("degraded"), F.count_if(c("degraded") & c("fired")).alias("detected"), F.count_if(c("silent")).alias("silent"), F.count_if(c("silent") & c("fired")).alias("silent_caught"),
+        F.count_if(healthy).alias("healthy"), F.count_if(healthy & c("fired")).alias("false_alarms"), F.count_if(healthy & c("warned") & ~c("fired")).alias("false_warnings"),
+    )

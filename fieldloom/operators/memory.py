@@ -9,7 +9,43 @@ from pyspark.sql.window import Window
 from fieldloom.operators.stats import jaccard
 
 FLOOR, TOP = 0.55, 3
-EPISODE = "ts double, site string, field string, spec_version int, signals array<string>, diff_class string, transform string, locator_kind string, strategy string, strategy_class string, locator string, outcome string, cycles int, f1_before double, f1_after double, gates map<string,boolean>, note string"
+EPISODE = "ts double, site string, field string, spec_version int, signals array<string>, diff_class string, transform string, locator_kind string, strategy string, strategy_class string, locator string, outcome string, cycles int, f1_before double, f1_after double, gates map<string,boolean>, note string, tokens int, used_memory boolean"
+
+
+def fingerprints(signals: DataFrame, classes: DataFrame, stacks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, field, signals, diff_class, transform, locator_kind) of every field with a signal.
+
+    ``signals``: keys, field, signal; ``classes``: keys, diff_class; ``stacks``: keys, field, transform, locator_kind (of the first locator).
+    """
+    fired = signals.groupBy(*keys, "field").agg(F.array_sort(F.collect_set("signal")).alias("signals"))
+    return fired.join(classes.select(*keys, "diff_class"), keys, "left").join(stacks, [*keys, "field"], "left").withColumn("diff_class", F.coalesce("diff_class", F.lit("UNKNOWN")))
+
+
+def fingerprint_key() -> Column:
+    """A fingerprint as one text."""
+    return F.concat_ws("|", F.array_join("signals", ","), "diff_class", "transform", "locator_kind")
+
+
+def apply_recall(found: DataFrame, recalls: DataFrame, keys: list[str]) -> DataFrame:
+    """The candidate that memory decides on, for each key: of the recalled episodes in order, the first healed one that has a
+    live candidate of its strategy class with a recovery of .99 at least; of such candidates the best placed."""
+    healed = recalls.where("outcome = 'healed'").select(*keys, "strategy_class", F.col("place").alias("recalled"))
+    fit = found.where("recovery >= 0.99").join(healed, [*keys, "strategy_class"])
+    order = Window.partitionBy(*keys).orderBy("recalled", "place")
+    return fit.withColumn("first", F.row_number().over(order)).where("first = 1").drop("first", "recalled")
+
+
+def remember(choices: DataFrame, prints: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataFrame:
+    """One episode for each diagnosed patch.
+
+    ``choices``: keys, field, locator, strategy_class, used_memory; ``verdicts``: keys, spec_version, cycles, f1_before, f1_broken, g1, g2, g3, passed.
+    """
+    rows = choices.join(prints, [*keys, "field"], "left").join(verdicts, keys)
+    gates = F.create_map(F.lit("G1"), F.col("g1"), F.lit("G2"), F.col("g2"), F.lit("G3"), F.col("g3"))
+    return rows.select(
+        (F.unix_micros(F.current_timestamp()) / 1e6).alias("ts"), "site", "field", "spec_version", F.coalesce("signals", F.array().cast("array<string>")).alias("signals"), F.coalesce("diff_class", F.lit("UNKNOWN")).alias("diff_class"), "transform", "locator_kind",
+        F.col("strategy_class").alias("strategy"), "strategy_class", "locator", F.when(F.col("passed"), "healed").otherwise("failed").alias("outcome"), F.col("cycles").cast("int").alias("cycles"), "f1_before", F.col("f1_broken").alias("f1_after"), gates.alias("gates"), F.lit("").alias("note"), F.lit(0).alias("tokens"), "used_memory",
+    )
 
 
 def similarity(signals_a: Column, class_a: Column, signals_b: Column, class_b: Column) -> Column:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import copy
+import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,18 @@ def record_hits(spec: dict, served: set[tuple[str, int]], root_tier: int | None)
     return out
 
 
+def record_hits_of(specs: DataFrame, results: DataFrame, key: str = "case_id") -> DataFrame:
+    """(key, spec) with last_hit stamped by the (field, tier) pairs that served; ``specs``: key, spec; ``results``: key, field, tier."""
+    served = results.where("tier is not null").groupBy(key).agg(F.to_json(F.array_sort(F.collect_set(F.struct("field", "tier")))).alias("served"))
+
+    def run(batches):
+        for batch in batches:
+            rows = [(k, json.dumps(record_hits(json.loads(spec), {(x["field"], x["tier"]) for x in json.loads(hits or "[]")}, 0))) for k, spec, hits in zip(batch[key], batch["spec"], batch["served"], strict=True)]
+            yield pd.DataFrame(rows, columns=[key, "spec"])
+
+    return specs.join(served, key, "left").select(key, "spec", "served").mapInPandas(run, f"{key} string, spec string")
+
+
 def spec_diff(old: dict, new: dict) -> list[tuple[str, str, str]]:
     """(stack, sign, signature): + new, ~ moved, - gone."""
     out = []

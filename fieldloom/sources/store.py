@@ -76,6 +76,11 @@ class Store:
         """site, run_id, html."""
         self._append(pages, "snapshots")
 
+    def has_snapshots(self, runs: DataFrame) -> DataFrame:
+        """site, run_id, found: whether each run has a snapshot."""
+        known = self.snapshots().select("site", "run_id").distinct().withColumn("found", F.lit(True))
+        return runs.select("site", "run_id").join(known, ["site", "run_id"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
     def snapshots(self) -> DataFrame:
         return self._read("snapshots")
 
@@ -105,3 +110,9 @@ class Store:
 
     def episodes(self) -> DataFrame:
         return self.spark.read.schema(EPISODE).json(f"{self.root}/episodes")
+
+    def known_episodes(self) -> DataFrame:
+        """``episodes``, empty where none was written yet."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/episodes")
+        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return self.episodes() if there else self.spark.createDataFrame([], EPISODE)

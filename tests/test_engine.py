@@ -98,6 +98,62 @@ def test_healing(spark):
             assert json.loads(r["spec"])["version"] == 2
 
 
+def case_of(spark, site, recipe, name=None):
+    pages = spark.createDataFrame([(site, sites.page(site))], "site string, html string")
+    made = mutators.mutated(pages, ["site"], {recipe: mutators.RECIPES[recipe]}).join(pages.withColumnRenamed("html", "old_html"), "site")
+    return made.select(F.lit(name or f"{site}/{recipe}").alias("case_id"), F.lit(name or site).alias("site"), "old_html", "new_html", F.lit(json.dumps(sites.SPECS[site])).alias("spec"))
+
+
+def test_healing_keeps_and_recalls(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}")
+    first = heal.heal(case_of(spark, "shop", "redesign").coalesce(1), store=store, max_cycles=1).first()
+    assert first["status"] == "healed" and first["card"] is None
+    episodes = store.episodes().collect()
+    assert episodes and {e["outcome"] for e in episodes} == {"healed"} and all(e["signals"] and e["diff_class"] == first["diff_class"] for e in episodes)
+    saved = json.loads(store.latest_specs().first()["spec"])
+    assert saved["version"] == 2 and any(x.get("last_hit") == 2 for f in saved["fields"].values() for x in f["stack"])
+    assert store.last_good().first()["run_id"] == "heal/shop/redesign" and store.baselines().count() == len(saved["fields"]) and store.results().count() > 0
+    assert store.has_snapshots(store.last_good()).first()["found"]
+    again = heal.heal(case_of(spark, "shop", "redesign", "twin").coalesce(1), store=store, max_cycles=1).first()
+    assert again["status"] == "healed" and again["recalled"] == first["asked"] and again["asked"] == 0
+
+
+def test_a_quarantine_card(spark):
+    found = heal.heal(case_of(spark, "jobs", "content_deferred").coalesce(1), max_cycles=1).first()
+    assert found["status"] == "quarantined" and found["diff_class"] == "CONTENT_DEFERRED"
+    lines = found["card"].split("\n")
+    assert lines[0].startswith("QUARANTINE  jobs  spec v1") and "CONTENT_DEFERRED" in lines[1] and sum(x.startswith("    - ") for x in lines) <= 6
+
+
+def test_memory_decides_on_a_live_candidate(spark):
+    found = spark.createDataFrame([("k", "f", "a", "stable_class", 0.5, 1), ("k", "f", "b", "semantic_attr", 1.0, 2), ("k", "f", "c", "semantic_attr", 1.0, 3)], "case_id string, field string, locator string, strategy_class string, recovery double, place int")
+    recalls = spark.createDataFrame([("k", "f", "failed", "semantic_attr", 1), ("k", "f", "healed", "stable_class", 2), ("k", "f", "healed", "semantic_attr", 3)], "case_id string, field string, outcome string, strategy_class string, place int")
+    assert [r["locator"] for r in memory.apply_recall(found, recalls, ["case_id", "field"]).collect()] == ["b"]
+    prints = memory.fingerprints(spark.createDataFrame([("k", "f", "b"), ("k", "f", "a")], "case_id string, field string, signal string"), spark.createDataFrame([("k", "TAG_SWAP")], "case_id string, diff_class string"), spark.createDataFrame([("k", "f", "money", "css")], "case_id string, field string, transform string, locator_kind string"), ["case_id"])
+    assert prints.select(memory.fingerprint_key()).first()[0] == "a,b|TAG_SWAP|money|css"
+
+
+def test_proposed_locators_are_measured_alike(spark):
+    rows = [("p", "css", ".x", None, v, 1, v == "1") for v in ("1", "1", "2", None)] + [("q", "css", ".y", None, None, 0, False)]
+    hits = spark.createDataFrame(rows, "signature string, kind string, q string, attr string, value string, n_hits int, known boolean")
+    by = ["signature", "kind", "q", "attr"]
+    got = candidates.evaluate_locator(hits, hits, by).collect()
+    assert [r["signature"] for r in got] == ["p"] and got[0]["score"] == pytest.approx(0.5 * 0.5 + 0.18 * 0.75 + 0.2 * 0.75)
+
+
+def test_summaries_and_site_fold(spark):
+    cases = spark.createDataFrame([(True, False, True, False), (True, True, True, False), (True, False, False, True), (False, False, False, True), (False, False, True, True)], "degraded boolean, silent boolean, fired boolean, warned boolean")
+    assert tuple(health.detection_summary(cases).first()) == (5, 3, 2, 1, 1, 2, 1, 1)
+    old = spark.createDataFrame([("s", 10.0, 0, 1.0), ("t", 4.0, 1, 0.0)], "site string, n_records double, root_tier int, shape_entropy double")
+    new = spark.createDataFrame([("s", 20.0, 1, 2.0)], "site string, n_records double, root_tier int, shape_entropy double")
+    got = {r["site"]: (r["n_records"], r["root_tier"], r["shape_entropy"]) for r in health.fold_site(old, new, ["site"]).collect()}
+    assert got["s"] == (pytest.approx(13.0), 1, pytest.approx(1.3)) and got["t"] == (4.0, 1, 0.0)
+    tiers = health.tier_shares(spark.createDataFrame([("s", "f", 0)] * 3 + [("s", "f", 2)], "site string, field string, tier int"), ["site"]).first()
+    assert tiers["tier_share"] == {0: 0.75, 2: 0.25}
+    res = spark.createDataFrame([("s", k, "f", f"v{k}", None, 0, 1, None) for k in range(4)], "site string, record int, field string, value string, number double, tier int, n_hits int, failed_validator string")
+    assert health.baseline_summary(health.baseline_of(res, ["site"]), ["site"]).first()["summary"] == "fill 1.00, tier 0, distinct 1.00, length 2.0"
+
+
 def test_q_heal_runs_all_recipes_and_cycles(spark, monkeypatch):
     asked = {}
 

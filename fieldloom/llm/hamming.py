@@ -1,13 +1,15 @@
 """Exact top-k search of binary codes by incremental multi-index hashing, as joins.
 
 A vector's code has one bit for each dimension, its sign (positive: 1).  Codes are cut into m segments
-of about log2(codes) bits, 16 at most, and each code is posted under (segment, value).  All queries
+of about log2(codes / 16) bits, 16 at most, and each code is posted under (segment, value).  All queries
 advance in rounds of a growing radius r: a query asks for the values that differ from its own in exactly r
 bits of a segment, meets the postings of those values in a shuffled join, and verifies the whole
 codes there.  A code counts only where its least distance within a segment is r, and only in the first
 such segment, so every (query, code) is met once in all.  After radius r every code within
 m * (r + 1) - 1 bits has been met; a query ends once its (k + 1)-th best distance so far is within
-that (one row may be the query's own) or all codes have been met.  Codes beyond that distance are not kept.
+that (one row may be the query's own) or all codes have been met.  Codes beyond that distance are not kept,
+and at its last radius a query asks only in the first segments that are needed: with a of them searched,
+every code within m * r + a - 1 bits has been met.
 
 Rows of one code are one posting with their k + 1 least ids (more can never be among the k best), so a
 common vector is no hot posting.  A query is not its own neighbour: of rows with the query's id
@@ -48,8 +50,8 @@ def flips(bits: int, radius: int) -> list[int]:
 
 
 def cuts(dims: int, codes: int) -> list[tuple[int, int]]:
-    """First bit and width of each segment: as even as can be, about log2(codes) bits each."""
-    m = -(-dims // min(SEGMENT, max(4, (codes - 1).bit_length())))
+    """First bit and width of each segment: as even as can be, about log2(codes / 16) bits each."""
+    m = -(-dims // min(SEGMENT, max(4, (codes - 1).bit_length() - 4)))
     ends = [dims * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
@@ -100,7 +102,7 @@ def nearest_codes(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id"
     by_distance = Window.partitionBy("query").orderBy("distance").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for radius in range(max(bits for _, bits in at) + 1):
         masks = spark.createDataFrame([(bits, mask) for bits in sorted({bits for _, bits in at}) for mask in flips(bits, radius)], "bits int, mask int")  # a few thousand
-        probes = active.select("query", "bound", *mine, segments([F.col(q) for q in mine], at).alias("s")).select("query", "bound", *mine, "s.seg", "s.bits", "s.value")
+        probes = active.select("query", "bound", *mine, segments([F.col(q) for q in mine], at).alias("s")).select("query", "bound", *mine, "s.seg", "s.bits", "s.value").where(F.col("seg") <= F.col("bound") - len(at) * radius)
         probes = probes.join(F.broadcast(masks), "bits").select("query", "bound", *mine, F.col("seg").alias("s"), F.col("value").bitwiseXOR(F.col("mask")).alias("v"))
         xor = [F.col(q).bitwiseXOR(F.col(w)) for q, w in zip(mine, words, strict=True)]
         distance = reduce(lambda a, b: a + b, (F.bit_count(x) for x in xor))

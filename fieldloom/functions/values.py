@@ -26,6 +26,7 @@ def normal_text(c: Column) -> Column:
 
 def money(c: Column) -> Column:
     """An amount with either separator convention; null if unreadable or in exponent notation."""
+    # Fixed value: blanks that part thousands
     joined = F.regexp_replace(c, r"(?<=\d)[ \u00A0\u202F](?=\d{3}(?!\d))", "")
     number = F.regexp_extract(joined, r"-?\d[\d.,]*", 0)
     comma = F.length(number) - F.instr(F.reverse(number), ",")

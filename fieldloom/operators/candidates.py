@@ -52,7 +52,7 @@ def strategy(kind: Column, q: Column, attr: Column) -> Column:
 
 
 def prior(kind: Column, q: Column, attr: Column) -> Column:
-    """How likely such an address is to outlive a redesign."""
+    """How likely such an address is to outlive a redesign.  Fixed values: the priors."""
     names = _names(q)
     css = F.when(_semantic(q), 0.88).when(F.size(names) == 0, 0.40).when(F.forall(names, lambda t: t.rlike(values.HASHED_CLASS)), 0.22).when(F.exists(names, lambda t: t.rlike(values.LAYOUT_CLASS)), 0.35).otherwise(0.75)
     own = F.when(kind == "css", css).when(kind == "text_anchor", 0.72).when(kind == "structural", 0.45).when(kind == "regex", 0.50).otherwise(0.40)

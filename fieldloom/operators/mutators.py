@@ -55,6 +55,7 @@ def _replace_class(page: Node, old: str, new: str) -> int:
 def class_rename(page: Node, rng: random.Random, severity: int) -> int:
     first = field_tokens(records_of(page))
     count = Counter(c for n in page.walk() for c in n.classes)
+    # Tokens of 2 to 400 uses, and 3, 8 or 25 of them by severity
     rest = sorted((c for c, k in count.items() if 2 <= k <= 400 and c not in first), key=lambda c: (-count[c], c))
     letters = "abcdefghijklmnopqrstuvwxyz0123456789"
     return sum(_replace_class(page, c, "css-" + "".join(rng.choice(letters) for _ in range(7))) for c in [*first, *rest][: (3, 8, 25)[severity - 1]])
@@ -103,6 +104,7 @@ def attr_migration(page: Node, rng: random.Random, severity: int) -> int:
 
 def _perturbed(text: str) -> str:
     if re.search(r"\d", text):
+        # The factor of decoy numbers, and below the mark of decoy texts
         return re.sub(r"\d+(?:\.\d+)?", lambda m: f"{float(m[0]) * 1.35:.2f}" if "." in m[0] else str(int(int(m[0]) * 1.35) + 1), text)
     return "Sponsored: " + text
 

@@ -15,6 +15,7 @@ LOCATORS = [
 ]
 LOCATORS_SQL = "(VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in row) + ")" for row in LOCATORS) + ") l(kind, q, attr)"
 NAMES_SQL = r"regexp_extract_all(q, '[.#\[]([A-Za-z0-9_-]+)', 1)"
+#: The class patterns of ``values`` in the syntax of the SQL engine, which has no look-ahead.
 HASHED_SQL, LAYOUT_SQL = "^((css-|sc-|jsx-|_)[a-z0-9]{4,}|[a-z]{1,3}[-_]?[0-9a-f]{6,})$", "^(col|row|grid|flex|container|wrapper|inner|outer|layout|mt|mb|ml|mr|px|py|p|m)[-_]?[0-9]*$"
 SEMANTIC_SQL = "regexp_matches(q, 'itemprop|data-testid|data-qa|role|aria-label')"
 

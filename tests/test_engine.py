@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.operators import candidates, health, heal, memory, mutators, patch, stats
+from fieldloom.operators import candidates, diff, dom, health, heal, memory, mutators, patch, stats
 from fieldloom.plans import heal_suite, sites
 from fieldloom.sources import extract
 from fieldloom.sources.html_tree import parse
@@ -125,6 +125,15 @@ def test_a_quarantine_card(spark):
     assert lines[0].startswith("QUARANTINE  jobs  spec v1") and "CONTENT_DEFERRED" in lines[1] and sum(x.startswith("    - ") for x in lines) <= 6
 
 
+def test_edits_of_structured_data_and_attributes(spark):
+    old = "<body><script type='application/ld+json'>{}</script><p itemprop='a' lang='x'>first text</p><p itemprop='b'>second text</p></body>"
+    new = "<body><script type='application/ld+json'>{}</script><p>first text</p><p>second text</p></body>"
+    nodes = lambda html: dom.dom_nodes(spark.createDataFrame([("k", html)], "page string, html string"), ["page"])
+    found = [(r["kind"], r["n"]) for r in diff.edits(nodes(old), nodes(new), ["page"]).orderBy("place").collect()]
+    assert found == [("STRUCTURED_DATA_DROPPED", 2), ("ATTR_DROPPED", 3)]  # the script stays, all itemprop go
+    assert diff.edits(nodes(old), nodes(old), ["page"]).count() == 0
+
+
 def test_memory_decides_on_a_live_candidate(spark):
     found = spark.createDataFrame([("k", "f", "a", "stable_class", 0.5, 1), ("k", "f", "b", "semantic_attr", 1.0, 2), ("k", "f", "c", "semantic_attr", 1.0, 3)], "case_id string, field string, locator string, strategy_class string, recovery double, place int")
     recalls = spark.createDataFrame([("k", "f", "failed", "semantic_attr", 1), ("k", "f", "healed", "stable_class", 2), ("k", "f", "healed", "semantic_attr", 3)], "case_id string, field string, outcome string, strategy_class string, place int")

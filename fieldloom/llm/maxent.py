@@ -8,6 +8,15 @@ bias, the word before, the word before that (skip), and the two together (n-gram
 within its class is the maximum-entropy distribution with the unigram as its only feature, which
 has the closed form (c + 1) / (N_class + V_class + 1) with one share for all unseen words.
 
+That model is mixed with what the corpus says of the exact context, the two words before: a word seen n times
+in a context of total t and k different words has (n - d) / t, d being ``DISCOUNT``, and d k / t of the context's mass goes by
+the model above; a context not seen leaves that model alone, as do the first two tokens of a text.
+These n-grams are counted over all training texts and grow with them.  They lie in shards by context: a step of texts sends
+each of its n-grams once, with its number of training occurrences and the model's share, and the shard answers for
+all steps, so a hot n-gram costs a row a step.  A shard's n-grams are some millions whatever the corpus.
+For a rare word (below) that was seen in its context the model's part of the mixture is left out, so all shares sum to a
+little less than one.  Contexts are told apart by 32 bits and the shard, words in one by 15 bits.
+
 Training covers all texts of the training part: exact counts of all words by a shuffle, and one
 pass of gradient updates in ``rounds`` rounds.  In a round each task starts from the common weights, takes
 Adagrad steps over its own texts of that round, and sends its change of the weights; the changes, weighted by
@@ -24,16 +33,18 @@ leaves the uniform shares.  Other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, hash_words, mix, signed, small_batches, spread, steps, stored, text_bytes, words_of
+from .common import LOWER, U64, group_bounds, grouped, hash_words, mix, signed, small_batches, spread, steps, stored, text_bytes, words_of
 
 CLASSES = 32
 SLOTS = 1 << 13
@@ -41,6 +52,10 @@ TEMPLATES = 3
 ROUNDS = 3
 RATE = 1.0
 FREQUENT = 1_000_000
+#: What absolute discounting takes from the count of an n-gram for words not seen in its context.
+DISCOUNT = 0.75
+#: Training tokens for each shard of n-grams, and steps of a natural log as n-grams carry it.
+SHARD, FINE = 3_500_000, 1024
 #: Tokens of one gradient step.
 CHUNK = 1 << 13
 #: Slots of word endings, and buckets of the slots beside them.
@@ -247,15 +262,16 @@ class Totals:
     class_distinct: np.ndarray
 
 
-def _scores(model: ClassModel, totals: Totals, words: np.ndarray, counts: np.ndarray):
-    """Of each text: tokens, known tokens, and both scores without the counts of rare words; those words with their number."""
+def _scores(model: ClassModel, totals: Totals, words: np.ndarray, counts: np.ndarray, shards: int):
+    """Of each step of texts: a home row with sums by text and what is repeated or rare, and a row of n-grams for each shard."""
     base = np.log10(totals.tokens + totals.distinct + 1)
     within = np.log10(totals.class_tokens + totals.class_distinct + 1)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40  # rows are told apart by place; the table is stored before it is used
+        row = TaskContext.get().partitionId() << 40  # rows are told apart by place
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
+            held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi in steps(offsets):
                 h, c, ends = words_hashed(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 slots, c = contexts(h, ends), model.classes[c]
@@ -267,22 +283,159 @@ def _scores(model: ClassModel, totals: Totals, words: np.ndarray, counts: np.nda
                     z = class_logs(model.weights, model.bias, slots[a : a + CHUNK])
                     log[a : a + CHUNK] = z[np.arange(len(z)), c[a : a + CHUNK]]
                 seen = np.log10(n + 1.0)
-                total = lambda x: np.add.reduceat(x, ends[:-1])  # noqa: B023, E731
+                log = log / np.log(10) + seen - within[c]
                 size = np.diff(ends)
-                rare = np.flatnonzero(~known)
-                owner = np.repeat(np.arange(len(size)), size)[rare]
-                rare_ends = np.searchsorted(owner, np.arange(len(size) + 1)).astype(np.int32)
-                part = batch.slice(lo, hi - lo)
-                place = np.arange(row, row + hi - lo)
-                row += hi - lo
+                owner = np.repeat(np.arange(len(size), dtype=np.uint32), size)
+                total = lambda x: np.add.reduceat(x, ends[:-1])  # noqa: B023, E731
+                home, sent = _grams(h, spread(size), owner, ~held[lo:hi], ~known, log, shards)
+                home.update(size=size, known=total(known.astype(np.int64)), base=total(seen) - size * base, score=total(log))
+                bodies = [(row % shards, home), *sent]
+                ids = batch.column("id").slice(lo, hi - lo)
+                none = pa.nulls(len(bodies) - 1, pa.list_(ids.type))
+                first = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(place), pa.array(size), pa.array(total(known.astype(np.int64))), pa.array(total(seen) - size * base), pa.array(total(seen - within[c] + log / np.log(10))), pa.ListArray.from_arrays(pa.array(rare_ends), signed(h[rare]))],
-                    ["id", "row", "n_tokens", "n_known", "base", "score", "rare"],
+                    [pa.array([row] * len(bodies), pa.int64()), pa.array([k for k, _ in bodies], pa.int32()), pa.array([pickle.dumps(x, 5) for _, x in bodies], pa.binary()), pa.concat_arrays([first, none])],
+                    ["step", "shard", "body", "ids"],
                 )
+                row += hi - lo
 
     return scores
 
 
+def _grams(h: np.ndarray, place: np.ndarray, owner: np.ndarray, training: np.ndarray, rare: np.ndarray, log: np.ndarray, shards: int) -> tuple[dict, list]:
+    """What of the n-grams of a step stays at home, and what each shard gets.
+
+    An n-gram goes out once a step, however often it occurs there.  Its answer belongs to a target: the
+    text, where it occurs once; else, or where its word is rare, a number after the texts', whose occurrences stay home.
+    """
+    docs = len(training)
+    inside = np.flatnonzero(place >= 2)
+    before = mix(h[inside - 2] * U64(3) + h[inside - 1] + U64(101))
+    grams = mix(before * U64(5) + h[inside])
+    _, first, back, m = np.unique(grams, return_index=True, return_inverse=True, return_counts=True)
+    trained = np.bincount(back, weights=training[owner[inside]], minlength=len(first)).astype(np.uint32)
+    token = inside[first]
+    apart = (m > 1) | rare[token]
+    rank = np.argsort(~(apart & rare[token])[apart], kind="stable")  # the rare words' numbers come first
+    number = np.empty(len(rank), np.uint32)
+    number[rank] = np.arange(len(rank), dtype=np.uint32)
+    target = owner[token].copy()
+    target[apart] = docs + number
+    kept = np.flatnonzero(apart[back])
+    many = np.flatnonzero(apart)[rank]
+    edge = np.flatnonzero((place < 2) & rare)
+    home = {
+        "owner": owner[inside[kept]],
+        "key": target[back[kept]] - docs,
+        "numbers": len(rank),
+        "words": h[token[many[rare[token[many]]]]],
+        "edge_owner": owner[edge],
+        "edge_words": h[edge],
+    }
+    before, shard = before[first], ((before[first] >> U64(32)) % U64(shards)).astype(np.int32)
+    order = np.lexsort((target, shard))
+    cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    mark = (grams[first] >> U64(48)).astype(np.uint16) & np.uint16(0x7FFF) | (rare[token].astype(np.uint16) << np.uint16(15))
+    natural = np.clip(np.rint(-log[token] * np.log(10) * FINE), 0, 0xFFFF).astype(np.uint16)
+    sent = []
+    for at in np.split(order, cuts[1:]) if len(order) else []:
+        steps_up = np.diff(target[at], prepend=np.uint32(0)).astype(np.uint32)
+        sent.append((int(shard[at[0]]), {"before": before[at].astype(np.uint32), "mark": mark[at], "log": natural[at], "trained": trained[at], "target": steps_up}))
+    return home, sent
+
+
+def gram_logs(key: np.ndarray, trained: np.ndarray, log: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By how much n-grams change the natural logs of their words, and which were seen in training.
+
+    A key is the context, and 16 bits for the word in it; equal keys may repeat.
+    """
+    order = np.argsort(key)
+    sorted_key = key[order]
+    new = np.append(True, sorted_key[1:] != sorted_key[:-1])
+    pair = np.cumsum(new) - 1
+    n = np.add.reduceat(trained[order].astype(np.int64), np.flatnonzero(new))
+    context = sorted_key[new] >> U64(16)
+    new = np.append(True, context[1:] != context[:-1])
+    which, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+    total, kinds = np.add.reduceat(n, starts)[which], np.add.reduceat((n > 0).astype(np.int64), starts)[which]
+    share = np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)
+    left = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+    q, rest = np.empty(len(key)), np.empty(len(key))
+    q[order], rest[order] = share[pair], left[pair]
+    seen = q > 0
+    change = np.log(rest)
+    change[seen] = np.log(q[seen] + np.where(rare[seen], 0.0, rest[seen] * np.exp(log[seen]))) - log[seen]
+    return change, seen
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Home rows as they are; the n-grams of this task's shard, all steps together, answered by target."""
+    names = ["step", "shard", "body", "ids"]
+    held: list[tuple[int, dict]] = []
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field("ids").type
+        at_home = batch.column("ids").is_valid()
+        yield batch.select(names).filter(at_home)
+        away = batch.filter(pc.invert(at_home))
+        for step, shard, body in zip(away.column("step").to_pylist(), away.column("shard").to_pylist(), away.column("body"), strict=True):
+            blob = pickle.loads(body.as_buffer())  # noqa: S301
+            blob["key"] = (U64(shard & 0xFFFF) << U64(48)) | (blob.pop("before").astype(U64) << U64(16)) | (blob["mark"] & np.uint16(0x7FFF)).astype(U64)
+            held.append((step, blob))
+    if not held:
+        return
+    whole = lambda name: np.concatenate([x[name] for _, x in held])
+    rare = whole("mark") >> np.uint16(15) == 1
+    change, seen = gram_logs(whole("key"), whole("trained"), whole("log") / -FINE, rare)
+    ends = np.cumsum([len(x["mark"]) for _, x in held])
+    for (step, blob), hi in zip(held, ends, strict=True):
+        lo = hi - len(blob["mark"])
+        target = np.cumsum(blob["target"], dtype=np.uint32)
+        told = target[seen[lo:hi] & rare[lo:hi]]
+        moved = change[lo:hi] != 0
+        if not moved.any():
+            continue
+        target, value = target[moved], change[lo:hi][moved]
+        starts = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
+        body = {"target": target[starts], "change": np.add.reduceat(value, starts).astype(np.float32), "told": told}
+        yield pa.RecordBatch.from_arrays([pa.array([step], pa.int64()), pa.array([-1], pa.int32()), pa.array([pickle.dumps(body, 5)], pa.binary()), pa.nulls(1, kind)], names)
+
+
+def _lists(owner: np.ndarray, words: np.ndarray, docs: int) -> pa.Array:
+    order = np.argsort(owner, kind="stable")
+    ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=docs))))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), signed(words[order]))
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of texts from home rows and answers, in which the rows of a step are adjacent."""
+    for table in grouped(batches, ["step"]):
+        bounds = group_bounds(table, ["step"])
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            part = table.slice(lo, hi - lo)
+            home, ids, answers = None, None, []
+            for k, body in enumerate(part.column("body")):
+                if part.column("ids")[k].is_valid:
+                    home, ids = pickle.loads(body.as_buffer()), part.column("ids")[k].values  # noqa: S301
+                else:
+                    answers.append(pickle.loads(body.as_buffer()))  # noqa: S301
+            docs = len(home["size"])
+            change, told = np.zeros(docs + home["numbers"]), np.zeros(home["numbers"], bool)
+            for answer in answers:
+                change[answer["target"]] += answer["change"]
+                told[answer["told"] - docs] = True
+            score = home["score"] + (change[:docs] + np.bincount(home["owner"], change[docs:][home["key"]], docs)) / np.log(10)
+            rare = home["key"] < len(home["words"])
+            owner, key = home["owner"][rare], home["key"][rare]
+            words, was = home["words"][key], told[key]
+            plain = _lists(np.concatenate([owner[~was], home["edge_owner"]]), np.concatenate([words[~was], home["edge_words"]]), docs)
+            row = part.column("step")[0].as_py()
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(np.arange(row, row + docs)), pa.array(home["size"]), pa.array(home["known"]), pa.array(home["base"]), pa.array(score), plain, _lists(owner[was], words[was], docs)],
+                ["id", "row", "n_tokens", "n_known", "base", "score", "rare", "told"],
+            )
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, slot, n) of column ``text`` of texts; a word is its hash.  Slot -1: what stands beside slots, by place."""
     counted = texts.select("text").mapInArrow(_word_counts, "word long, slot int, n long")
@@ -292,7 +445,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 def model_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, frequent: int = FREQUENT) -> DataFrame:
     """Scores of all rows of docs by a model of those that are not held out; the columns are described above."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), held_out.alias("held_out"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.coalesce(held_out, F.lit(True)).alias("held_out"))
     training = rows.where("not held_out")
     counts = stored(word_counts(training), "words")
     near = np.zeros((ENDINGS + 1) * BESIDE)
@@ -311,9 +464,15 @@ def model_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
     words, n = common.column("word").to_numpy().view(U64), common.column("n").to_numpy()
     order = np.argsort(words)
     kind = rows.schema["id"].dataType.simpleString()
-    found = stored(rows.select("id", "text").mapInArrow(_scores(model, totals, words[order], n[order]), f"id {kind}, row long, n_tokens long, n_known long, base double, score double, rare array<long>"), "partial")
-    rare = found.select("row", F.explode("rare").alias("word"))
-    more = rare.join(counts.where(~often).select("word", "n"), "word").groupBy("row").agg(F.count("*").alias("known"), F.sum(F.log10(F.col("n") + 1.0)).alias("log"))
-    out = found.drop("rare").join(more, "row", "left")
-    known, log = F.coalesce("known", F.lit(0)), F.coalesce("log", F.lit(0.0))
-    return out.select(F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + known).alias("n_known"), F.lit(totals.tokens).cast("long").alias("train_tokens"), (F.col("base") + log).alias("base_score"), (F.col("score") + log).alias("score"))
+    shards = totals.tokens // SHARD + 1
+    shape = f"step long, shard int, body binary, ids array<{kind}>"
+    sent = rows.select("id", "text", "held_out").mapInArrow(_scores(model, totals, words[order], n[order], shards), shape)
+    answered = sent.repartitionById(shards, F.col("shard")).mapInArrow(_answers, shape)
+    found = stored(answered.repartition(shards, "step").sortWithinPartitions("step").mapInArrow(_settled, f"id {kind}, row long, n_tokens long, n_known long, base double, score double, rare array<long>, told array<long>"), "partial")
+    lists = F.explode(F.array(F.struct(F.col("rare").alias("words"), F.lit(1).alias("plain")), F.struct(F.col("told").alias("words"), F.lit(0).alias("plain"))))
+    rare = found.select("row", lists.alias("l")).select("row", "l.plain", F.explode("l.words").alias("word"))
+    logs = F.log10(F.col("n") + 1.0)
+    more = rare.join(counts.where(~often).select("word", "n"), "word").groupBy("row").agg(F.count("*").alias("known"), F.sum(logs).alias("log"), F.sum(logs * F.col("plain")).alias("plain_log"))
+    out = found.drop("rare", "told").join(more, "row", "left")
+    known, log, plain = F.coalesce("known", F.lit(0)), F.coalesce("log", F.lit(0.0)), F.coalesce("plain_log", F.lit(0.0))
+    return out.select(F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + known).alias("n_known"), F.lit(totals.tokens).cast("long").alias("train_tokens"), (F.col("base") + log).alias("base_score"), (F.col("score") + plain).alias("score"))

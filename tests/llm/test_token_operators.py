@@ -11,6 +11,8 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +116,66 @@ def test_scores(spark):
     assert maxent.model_scores(table(spark, texts).limit(0), out).count() == 0
 
 
+def _changed(texts, training, common, shards, monkeypatch):
+    """Scores by the operator's three steps, with untrained weights, and what stays to be joined."""
+    monkeypatch.setattr(maxent, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 3)}))}))
+    totals = maxent.Totals(1000, 100, np.full(maxent.CLASSES, 500.0), np.full(maxent.CLASSES, 20.0))
+    words = np.array(sorted(common), np.uint64)
+    counts = np.array([common[w] for w in words.tolist()], np.int64)
+    half = len(texts) // 2
+    made = []
+    for part in (slice(0, half), slice(half, None)):
+        made.append(pa.RecordBatch.from_pydict({"id": pa.array(list(range(len(texts)))[part]), "text": pa.array(texts[part], pa.string()), "held_out": pa.array([not x for x in training[part]])}))
+    sent = pa.Table.from_batches(list(maxent._scores(maxent.ClassModel(), totals, words, counts, shards)(iter(made))))
+    answered = []
+    for shard in range(shards):
+        mine = sent.filter(pa.compute.equal(sent["shard"], shard))
+        answered += list(maxent._answers(iter(mine.to_batches())))
+    whole = pa.Table.from_batches(answered).sort_by("step").combine_chunks()
+    return pa.Table.from_batches(list(maxent._settled(iter(whole.to_batches())))).sort_by("id").to_pylist()
+
+
+def test_ngrams_against_brute_force(monkeypatch):
+    texts = made_texts(60) * 2 + ["a b", None, "a b c d", "a b c e", "x y z " * 50]
+    training = [i % 7 != 2 for i in range(len(texts))]
+    tokens = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + ["\n"] for t in texts]
+    grams, contexts = Counter(), {}
+    for t, w in enumerate(tokens):
+        for a in zip(w, w[1:], w[2:]) if training[t] else ():
+            grams[a] += 1
+            contexts.setdefault(a[:2], Counter())[a[2]] += 1
+    data = np.frombuffer("\n".join(sorted({x for w in tokens for x in w} - {"\n"})).encode(), np.uint8)
+    starts, lengths, _ = maxent.words_of(data, np.array([0, len(data)]))
+    hashes = dict(zip([bytes(data[a : a + n]).decode() for a, n in zip(starts, lengths)], maxent.hash_words(data, starts, lengths).tolist()))
+    hashes["\n"] = int(maxent.END)
+    seen = Counter(x for w in tokens for x in w)
+    for least in (0, 5):
+        common = {hashes[w]: n for w, n in seen.items() if n >= least}
+        for shards in (1, 3):
+            for i, r in enumerate(_changed(texts, training, common, shards, monkeypatch)):
+                score, plain, told = 0.0, [], []
+                for j, w in enumerate(tokens[i]):
+                    rare = hashes[w] not in common
+                    p = (1 if rare else seen[w] + 1) / maxent.CLASSES / 521
+                    n = grams[tuple(tokens[i][j - 2 : j + 1])] if j >= 2 else 0
+                    after = contexts.get(tuple(tokens[i][j - 2 : j]), {}) if j >= 2 else {}
+                    t = sum(after.values())
+                    rest = 0.75 * len(after) / t if t else 1.0
+                    if rare:
+                        (told if n else plain).append(hashes[w])
+                    score += math.log10((n - 0.75) / t + (0 if rare else rest * p) if n else rest * p)
+                assert math.isclose(r["score"], score, abs_tol=2e-3 * len(tokens[i])), (i, least, shards)
+                assert (r["id"], r["n_tokens"]) == (i, len(tokens[i]))
+                assert Counter(x % 2**64 for x in r["rare"]) == Counter(plain) and Counter(x % 2**64 for x in r["told"]) == Counter(told)
+
+
+def test_shares_of_a_context_sum_to_one():
+    trained = np.array([3, 1, 0, 0])  # four words of one context, the last two not seen there
+    p = np.array([0.4, 0.3, 0.2, 0.1])
+    change, seen = maxent.gram_logs(np.uint64(7 << 16) + np.arange(4, dtype=np.uint64), trained, np.log(p), np.zeros(4, bool))
+    assert seen.tolist() == [True, True, False, False] and math.isclose((p * np.exp(change)).sum(), 1)
+
+
 def test_class_probabilities_sum_to_one():
     r = np.random.default_rng(3)
     weights, bias = r.normal(size=(maxent.TEMPLATES, maxent.SLOTS, maxent.CLASSES)).astype(np.float32), r.normal(size=maxent.CLASSES).astype(np.float32)

@@ -15,7 +15,7 @@ These n-grams are counted over all training texts and grow with them.  They lie
 each of its n-grams once, with its number of training occurrences and the model's share, and the shard answers for
 all steps, so a hot n-gram costs a row a step.  A shard's n-grams are some millions whatever the corpus.
 For a rare word (below) that was seen in its context the model's part of the mixture is left out, so all shares sum to a
-little less than one.  Contexts are told apart by 32 bits and the shard, words in one by 15 bits.
+little less than one.  Contexts are told apart by 26 bits and the shard, words in one by 15 bits; logs travel in 256ths.
 
 Training covers all texts of the training part: exact counts of all words by a shuffle, and one
 pass of gradient updates in ``rounds`` rounds.  In a round each task starts from the common weights, takes
@@ -55,7 +55,9 @@ FREQUENT = 1_000_000
 #: What absolute discounting takes from the count of an n-gram for words not seen in its context.
 DISCOUNT = 0.75
 #: Training tokens for each shard of n-grams, and steps of a natural log as n-grams carry it.
-SHARD, FINE = 3_500_000, 1024
+SHARD, FINE = 2_500_000, 256
+#: The bits that tell contexts of a shard apart, and the parts in which a shard is counted.
+CONTEXT, PARTS = U64((1 << 26) - 1), 8
 #: Tokens of one gradient step.
 CHUNK = 1 << 13
 #: Slots of word endings, and buckets of the slots beside them.
@@ -294,7 +296,7 @@ def _scores(model: ClassModel, totals: Totals, words: np.ndarray, counts: np.nda
                 none = pa.nulls(len(bodies) - 1, pa.list_(ids.type))
                 first = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row] * len(bodies), pa.int64()), pa.array([k for k, _ in bodies], pa.int32()), pa.array([pickle.dumps(x, 5) for _, x in bodies], pa.binary()), pa.concat_arrays([first, none])],
+                    [pa.array([row] * len(bodies), pa.int64()), pa.array([k for k, _ in bodies], pa.int32()), pa.array([_packed(x) for _, x in bodies], pa.binary()), pa.concat_arrays([first, none])],
                     ["step", "shard", "body", "ids"],
                 )
                 row += hi - lo
@@ -302,6 +304,20 @@ def _scores(model: ClassModel, totals: Totals, words: np.ndarray, counts: np.nda
     return scores
 
 
+def _packed(body: dict) -> bytes:
+    """A row's arrays: their bytes by place of value, so that like bytes lie together, compressed."""
+    planes = {k: (v.dtype.str, np.ascontiguousarray(v.view(np.uint8).reshape(len(v), v.itemsize).T).tobytes()) if isinstance(v, np.ndarray) else v for k, v in body.items()}
+    raw = pickle.dumps(planes, 5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(body: pa.BinaryScalar) -> dict:
+    body = memoryview(body.as_buffer())
+    planes = pickle.loads(pa.decompress(body[8:], int.from_bytes(body[:8], "little"), "zstd"))  # noqa: S301
+    wide = lambda kind, data: np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return {k: wide(*v) if isinstance(v, tuple) else v for k, v in planes.items()}
+
+
 def _grams(h: np.ndarray, place: np.ndarray, owner: np.ndarray, training: np.ndarray, rare: np.ndarray, log: np.ndarray, shards: int) -> tuple[dict, list]:
     """What of the n-grams of a step stays at home, and what each shard gets.
 
@@ -325,11 +341,11 @@ def _grams(h: np.ndarray, place: np.ndarray, owner: np.ndarray, training: np.nda
     many = np.flatnonzero(apart)[rank]
     edge = np.flatnonzero((place < 2) & rare)
     home = {
-        "owner": owner[inside[kept]],
+        "owner": np.diff(owner[inside[kept]], prepend=np.uint32(0)),
         "key": target[back[kept]] - docs,
         "numbers": len(rank),
         "words": h[token[many[rare[token[many]]]]],
-        "edge_owner": owner[edge],
+        "edge_owner": np.diff(owner[edge], prepend=np.uint32(0)),
         "edge_words": h[edge],
     }
     before, shard = before[first], ((before[first] >> U64(32)) % U64(shards)).astype(np.int32)
@@ -340,7 +356,7 @@ def _grams(h: np.ndarray, place: np.ndarray, owner: np.ndarray, training: np.nda
     sent = []
     for at in np.split(order, cuts[1:]) if len(order) else []:
         steps_up = np.diff(target[at], prepend=np.uint32(0)).astype(np.uint32)
-        sent.append((int(shard[at[0]]), {"before": before[at].astype(np.uint32), "mark": mark[at], "log": natural[at], "trained": trained[at], "target": steps_up}))
+        sent.append((int(shard[at[0]]), {"before": (before[at] & CONTEXT).astype(np.uint32), "mark": mark[at], "log": natural[at], "trained": trained[at], "target": steps_up}))
     return home, sent
 
 
@@ -371,7 +387,8 @@ def gram_logs(key: np.ndarray, trained: np.ndarray, log: np.ndarray, rare: np.nd
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Home rows as they are; the n-grams of this task's shard, all steps together, answered by target."""
     names = ["step", "shard", "body", "ids"]
-    held: list[tuple[int, dict]] = []
+    held: list[tuple[int, np.ndarray]] = []
+    arrays: dict[str, list] = {"key": [], "trained": [], "log": [], "rare": []}
     kind = None
     for batch in batches:
         kind = batch.schema.field("ids").type
@@ -379,26 +396,35 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(names).filter(at_home)
         away = batch.filter(pc.invert(at_home))
         for step, shard, body in zip(away.column("step").to_pylist(), away.column("shard").to_pylist(), away.column("body"), strict=True):
-            blob = pickle.loads(body.as_buffer())  # noqa: S301
-            blob["key"] = (U64(shard & 0xFFFF) << U64(48)) | (blob.pop("before").astype(U64) << U64(16)) | (blob["mark"] & np.uint16(0x7FFF)).astype(U64)
-            held.append((step, blob))
+            blob = _unpacked(body)
+            word = (blob["mark"] & np.uint16(0x7FFF)).astype(U64)
+            arrays["key"].append((U64(shard & 0xFFFF) << U64(48)) | (blob["before"].astype(U64) << U64(16)) | word)
+            arrays["trained"].append(blob["trained"])
+            arrays["log"].append(blob["log"])
+            arrays["rare"].append(blob["mark"] >> np.uint16(15) == 1)
+            held.append((step, blob["target"]))
     if not held:
         return
-    whole = lambda name: np.concatenate([x[name] for _, x in held])
-    rare = whole("mark") >> np.uint16(15) == 1
-    change, seen = gram_logs(whole("key"), whole("trained"), whole("log") / -FINE, rare)
-    ends = np.cumsum([len(x["mark"]) for _, x in held])
-    for (step, blob), hi in zip(held, ends, strict=True):
-        lo = hi - len(blob["mark"])
-        target = np.cumsum(blob["target"], dtype=np.uint32)
+    key, trained, log, rare = (np.concatenate(arrays.pop(name)) for name in list(arrays))
+    change, seen = np.zeros(len(key), np.float32), np.zeros(len(key), bool)
+    part = ((key >> U64(16)) % U64(PARTS)).astype(np.uint8)
+    for k in range(PARTS):
+        at = np.flatnonzero(part == k)
+        if len(at):
+            change[at], seen[at] = gram_logs(key[at], trained[at], log[at] / -FINE, rare[at])
+    hi = 0
+    for step, up in held:
+        lo, hi = hi, hi + len(up)
+        target = np.cumsum(up, dtype=np.uint32)
         told = target[seen[lo:hi] & rare[lo:hi]]
         moved = change[lo:hi] != 0
         if not moved.any():
             continue
         target, value = target[moved], change[lo:hi][moved]
         starts = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
-        body = {"target": target[starts], "change": np.add.reduceat(value, starts).astype(np.float32), "told": told}
-        yield pa.RecordBatch.from_arrays([pa.array([step], pa.int64()), pa.array([-1], pa.int32()), pa.array([pickle.dumps(body, 5)], pa.binary()), pa.nulls(1, kind)], names)
+        value = np.rint(np.add.reduceat(value, starts) * FINE).astype(np.int32)
+        body = {"target": np.diff(target[starts], prepend=np.uint32(0)), "change": value, "told": told}
+        yield pa.RecordBatch.from_arrays([pa.array([step], pa.int64()), pa.array([-1], pa.int32()), pa.array([_packed(body)], pa.binary()), pa.nulls(1, kind)], names)
 
 
 def _lists(owner: np.ndarray, words: np.ndarray, docs: int) -> pa.Array:
@@ -416,13 +442,15 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             home, ids, answers = None, None, []
             for k, body in enumerate(part.column("body")):
                 if part.column("ids")[k].is_valid:
-                    home, ids = pickle.loads(body.as_buffer()), part.column("ids")[k].values  # noqa: S301
+                    home, ids = _unpacked(body), part.column("ids")[k].values
                 else:
-                    answers.append(pickle.loads(body.as_buffer()))  # noqa: S301
+                    answers.append(_unpacked(body))
             docs = len(home["size"])
+            for name in ("owner", "edge_owner"):
+                home[name] = np.cumsum(home[name])
             change, told = np.zeros(docs + home["numbers"]), np.zeros(home["numbers"], bool)
             for answer in answers:
-                change[answer["target"]] += answer["change"]
+                change[np.cumsum(answer["target"])] += answer["change"] / FINE
                 told[answer["told"] - docs] = True
             score = home["score"] + (change[:docs] + np.bincount(home["owner"], change[docs:][home["key"]], docs)) / np.log(10)
             rare = home["key"] < len(home["words"])

@@ -287,9 +287,12 @@ def _scores(model: ClassModel, totals: Totals, words: np.ndarray, counts: np.nda
                 seen = np.log10(n + 1.0)
                 log = log / np.log(10) + seen - within[c]
                 size = np.diff(ends)
+                place = spread(size)
+                fine = np.clip(np.rint(-log * np.log(10) * FINE), 0, 0xFFFF).astype(np.uint16)
+                log = np.where(place < 2, log, fine / (-FINE * np.log(10)))  # as n-grams carry it, so that answers cancel it
                 owner = np.repeat(np.arange(len(size), dtype=np.uint32), size)
                 total = lambda x: np.add.reduceat(x, ends[:-1])  # noqa: B023, E731
-                home, sent = _grams(h, spread(size), owner, ~held[lo:hi], ~known, log, shards)
+                home, sent = _grams(h, place, owner, ~held[lo:hi], ~known, fine, shards)
                 home.update(size=size, known=total(known.astype(np.int64)), base=total(seen) - size * base, score=total(log))
                 bodies = [(row % shards, home), *sent]
                 ids = batch.column("id").slice(lo, hi - lo)
@@ -318,7 +321,7 @@ def _unpacked(body: pa.BinaryScalar) -> dict:
     return {k: wide(*v) if isinstance(v, tuple) else v for k, v in planes.items()}
 
 
-def _grams(h: np.ndarray, place: np.ndarray, owner: np.ndarray, training: np.ndarray, rare: np.ndarray, log: np.ndarray, shards: int) -> tuple[dict, list]:
+def _grams(h: np.ndarray, place: np.ndarray, owner: np.ndarray, training: np.ndarray, rare: np.ndarray, fine: np.ndarray, shards: int) -> tuple[dict, list]:
     """What of the n-grams of a step stays at home, and what each shard gets.
 
     An n-gram goes out once a step, however often it occurs there.  Its answer belongs to a target: the
@@ -352,11 +355,11 @@ def _grams(h: np.ndarray, place: np.ndarray, owner: np.ndarray, training: np.nda
     order = np.lexsort((target, shard))
     cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
     mark = (grams[first] >> U64(48)).astype(np.uint16) & np.uint16(0x7FFF) | (rare[token].astype(np.uint16) << np.uint16(15))
-    natural = np.clip(np.rint(-log[token] * np.log(10) * FINE), 0, 0xFFFF).astype(np.uint16)
+    log = fine[token]
     sent = []
     for at in np.split(order, cuts[1:]) if len(order) else []:
         steps_up = np.diff(target[at], prepend=np.uint32(0)).astype(np.uint32)
-        sent.append((int(shard[at[0]]), {"before": (before[at] & CONTEXT).astype(np.uint32), "mark": mark[at], "log": natural[at], "trained": trained[at], "target": steps_up}))
+        sent.append((int(shard[at[0]]), {"before": (before[at] & CONTEXT).astype(np.uint32), "mark": mark[at], "log": log[at], "trained": trained[at], "target": steps_up}))
     return home, sent
 
 
@@ -422,8 +425,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         target, value = target[moved], change[lo:hi][moved]
         starts = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
-        value = np.rint(np.add.reduceat(value, starts) * FINE).astype(np.int32)
-        body = {"target": np.diff(target[starts], prepend=np.uint32(0)), "change": value, "told": told}
+        body = {"target": np.diff(target[starts], prepend=np.uint32(0)), "change": np.add.reduceat(value, starts), "told": told}
         yield pa.RecordBatch.from_arrays([pa.array([step], pa.int64()), pa.array([-1], pa.int32()), pa.array([_packed(body)], pa.binary()), pa.nulls(1, kind)], names)
 
 
@@ -450,7 +452,7 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 home[name] = np.cumsum(home[name])
             change, told = np.zeros(docs + home["numbers"]), np.zeros(home["numbers"], bool)
             for answer in answers:
-                change[np.cumsum(answer["target"])] += answer["change"] / FINE
+                change[np.cumsum(answer["target"])] += answer["change"]
                 told[answer["told"] - docs] = True
             score = home["score"] + (change[:docs] + np.bincount(home["owner"], change[docs:][home["key"]], docs)) / np.log(10)
             rare = home["key"] < len(home["words"])

@@ -175,7 +175,7 @@ _PAGE = SLOTS // 16
 
 
 def _gradients(model: ClassModel):
-    """Weighted changes of the weights of one task: a row for each page of a template's weights, and the bias."""
+    """Weighted changes of the weights of one task, in half precision: a row for each page of a template's weights, and the bias."""
 
     def gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner = Learner(model.weights, model.bias)
@@ -188,7 +188,7 @@ def _gradients(model: ClassModel):
                     learner.step(slots[a : a + CHUNK], c[a : a + CHUNK])
         if learner.tokens:
             delta = (learner.weights - model.weights).reshape(-1, _PAGE * CLASSES)
-            pages = [*(x.astype("<f4").tobytes() for x in delta), (learner.bias - model.bias).astype("<f4").tobytes()]
+            pages = [*(x.astype("<f2").tobytes() for x in delta), (learner.bias - model.bias).astype("<f2").tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(pages)), pa.int32()), pa.array([learner.tokens] * len(pages), pa.int64()), pa.array(pages, pa.binary())], ["page", "tokens", "delta"])
 
     return gradients
@@ -199,7 +199,7 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, list] = {}
     for batch in batches:
         for page, tokens, delta in zip(batch.column("page").to_pylist(), batch.column("tokens").to_pylist(), batch.column("delta").to_pylist(), strict=True):
-            value = np.frombuffer(delta, "<f4").astype(np.float64) * tokens
+            value = np.frombuffer(delta, "<f2").astype(np.float64) * tokens
             held = sums.setdefault(page, [0, 0.0])
             held[0], held[1] = held[0] + tokens, held[1] + value
     if sums:

@@ -7,8 +7,8 @@ global count of the window's words over all documents.  Document words join the
 token only; the token's place in the window gives the start, which must leave room on both sides
 (the positional and length bounds), and the words there must equal the window's.
 
-Rarity counts and windows are broadcast only while the benchmark has at most ``broadcast_words``
-words; beyond that the same steps run as shuffled joins, with the candidates of each document
+Rarity counts and windows are broadcast only while all windows take at most ``broadcast_bytes``, by a
+bound over all items: a word lies in at most ``width`` windows, with its bytes and 24 more; beyond that the same steps run as shuffled joins, with the candidates of each document
 verified against its words in a second pass.
 
 Rows of the result, one for each document row: id, ``n_words``, ``n_hit`` (words inside any occurrence
@@ -28,7 +28,7 @@ from .common import stored
 from .rows import mark_of
 
 WIDTH = 10
-BROADCAST_WORDS = 1_000_000
+BROADCAST_BYTES = 128 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,13 +46,15 @@ def windows_of(items: DataFrame, id_col: str, text_col: str, width: int) -> Data
 
 
 def hits(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, broadcast_words: int = BROADCAST_WORDS
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """(id, mark, n_hit, items) of the documents that hold a window; the mark is a hash of the text."""
     words = docs.select(F.col(id_col).alias("id"), mark_of(F.col(text_col)).alias("mark"), words_of(F.col(text_col)).alias("w"))
     windows = windows_of(items, item_id_col, item_text_col, width)
     window_words = windows.select(F.explode("window").alias("word")).distinct()
-    small = (items.select(F.sum(F.size(words_of(F.col(item_text_col)))).alias("n")).first()["n"] or 0) <= broadcast_words
+    text = F.col(item_text_col)
+    bound = F.octet_length(text).cast("long") + 24 * F.size(words_of(text))
+    small = width * (items.select(F.sum(bound).alias("n")).first()["n"] or 0) <= broadcast_bytes
     sized = F.broadcast if small else (lambda df: df)
 
     counts = words.select(F.explode("w").alias("word")).join(sized(window_words), "word", "left_semi").groupBy("word").agg(F.count("*").alias("c"))

@@ -177,13 +177,13 @@ def brute_hits(texts, items, width=10):
     return out
 
 
-@pytest.mark.parametrize("broadcast_words", [10**6, 0])
-def test_decontamination_matches_brute_force(spark, broadcast_words):
+@pytest.mark.parametrize("broadcast_bytes", [10**8, 0])
+def test_decontamination_matches_brute_force(spark, broadcast_bytes):
     texts = made_documents(60)
     source = [t for t in texts if t and len(t.split()) > 30]
     items = [(1, " ".join(source[0].split()[5:25])), (10, " ".join(source[1].split()[:12]).upper()), (2, "one"), (3, None), (4, " -- "), (5, "words that nobody wrote in any document at all here"), (1, " ".join(source[0].split()[5:25])), (7, "a a a a a a a a a a a a")]
     texts += ["b " + "a " * 15, source[0] + "-" + source[0], "the one, and ONE"]
-    found = benchmark_hits(spark.createDataFrame(rows_of(texts), DOCS), spark.createDataFrame(items, "item_id long, text string"), broadcast_words=broadcast_words).collect()
+    found = benchmark_hits(spark.createDataFrame(rows_of(texts), DOCS), spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=broadcast_bytes).collect()
     assert sorted(tuple(r) for r in found) == brute_hits(texts, items)
 
 

@@ -22,6 +22,7 @@ in the order of a hash of theirs; null ids come first.  An empty table gives no
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import os
 import unicodedata
@@ -42,8 +43,12 @@ BLOCK = 1024
 #: Tokens in a shard.
 SHARD = 1 << 20
 END = 1
-#: Distinct chunks of text whose ids a worker keeps; beyond that it starts anew, which changes no result.
+#: Distinct chunks of text whose ids a worker keeps, of four ids each on average at most; beyond that it starts anew, which changes no result.
 KEPT = 1_300_000
+#: Bytes of text that a worker encodes at a time.
+STEP = 1 << 20
+#: Tokens that ``pack`` has in work at a time.
+_SLICE = 1 << 17
 _MAGIC = b"FLH1"
 
 
@@ -114,21 +119,26 @@ class Code:
 def pack(ids: np.ndarray, parts: np.ndarray, code: Code, block: int = BLOCK) -> bytes:
     """A shard of ids; ``parts``: tokens of each document."""
     codes, lengths = code.by_symbol
-    size = lengths[ids]
-    ends = np.cumsum(size)
-    at = ends - size
-    value = codes[ids] << (64 - (at & 31) - size).astype(np.uint64)
-    word = at >> 5
-    total = int(ends[-1]) if len(ids) else 0
+    per_block = [np.zeros(0, np.int64)]
+    total = sum(int(lengths[ids[lo : lo + _SLICE]].sum()) for lo in range(0, len(ids), _SLICE))
     halves = np.zeros((total >> 5) + 3, np.uint32)
-    if len(ids):
+    done = 0
+    for lo in range(0, len(ids), _SLICE):
+        some = ids[lo : lo + _SLICE]
+        size = lengths[some]
+        ends = done + np.cumsum(size)
+        at = ends - size
+        value = codes[some] << (64 - (at & 31) - size).astype(np.uint64)
+        word = at >> 5
         new = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
         sums = np.add.reduceat(value, new)
         halves[word[new]] |= (sums >> np.uint64(32)).astype(np.uint32)
         halves[word[new] + 1] |= (sums & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        per_block.append(at[-lo % block :: block])
+        done = int(ends[-1])
     bits = halves.astype(">u4").tobytes()[: (total + 7) // 8]
     head = np.array([len(parts), len(ids), len(code.symbols), block, len(bits)], "<u4")
-    return b"".join([_MAGIC, head.tobytes(), code.symbols.astype("<u4").tobytes(), code.per_length.astype("<u4").tobytes(), parts.astype("<u4").tobytes(), at[::block].astype("<u8").tobytes(), bits])
+    return b"".join([_MAGIC, head.tobytes(), code.symbols.astype("<u4").tobytes(), code.per_length.astype("<u4").tobytes(), parts.astype("<u4").tobytes(), np.concatenate(per_block).astype("<u8").tobytes(), bits])
 
 
 def unpack(payload: bytes, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +210,7 @@ class Encoder:
 
     It is for tokenizers that never look across a space or newline: their pre-tokens and added tokens
     hold none.  A chunk is known by a 64-bit hash of its bytes (that two of a worker's chunks share one has
-    a chance below 1e-7), in sorted arrays beside the ids.  A chunk of letters with one full stop or comma is
+    a chance below 1e-7), in sorted arrays beside the ids, which take as few bytes as they can.  A chunk of letters with one full stop or comma is
     the ids of its letters and that mark's, and A-Z fold in chunks of Latin letters, where the library agrees.
     """
 
@@ -209,6 +219,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         mark = self.tokenizer.encode("a \x00 b \x00", add_special_tokens=False).ids
         alone = self.tokenizer.encode("\x00", add_special_tokens=False).ids
         if len(alone) != 1 or mark.count(alone[0]) != 2 or self.tokenizer.encode(" \n ", add_special_tokens=False).ids:
@@ -233,8 +244,8 @@ class Encoder:
         return np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
 
     def _anew(self) -> None:
-        self.keys, self.entry, self.filled = np.zeros(0, U64), np.zeros(0, np.int64), 0
-        self.flat, self.starts, self.sizes, self.letters = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool)
+        self.keys, self.entry, self.filled = np.zeros(0, U64), np.zeros(0, np.int32), 0
+        self.flat, self.starts, self.sizes, self.letters = np.zeros(1 << 16, self.kind), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, bool)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """The entry of each key, -1 where there is none."""
@@ -245,16 +256,16 @@ class Encoder:
 
     def _add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, letters: np.ndarray) -> None:
         n, grown = len(self.keys), len(self.keys) + len(keys)
-        while grown > len(self.starts):
-            self.starts, self.sizes, self.letters = (np.append(x, np.zeros_like(x)) for x in (self.starts, self.sizes, self.letters))
-        while self.filled + len(ids) > len(self.flat):
-            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        if grown > len(self.starts):
+            self.starts, self.sizes, self.letters = (_longer(x, grown) for x in (self.starts, self.sizes, self.letters))
+        if self.filled + len(ids) > len(self.flat):
+            self.flat = _longer(self.flat, self.filled + len(ids))
         self.flat[self.filled : self.filled + len(ids)] = ids
         self.starts[n:grown], self.sizes[n:grown], self.letters[n:grown] = self.filled + np.cumsum(sizes) - sizes, sizes, letters
         self.filled += len(ids)
         order = np.argsort(keys)
         at = np.searchsorted(self.keys, keys[order])
-        self.keys, self.entry = np.insert(self.keys, at, keys[order]), np.insert(self.entry, at, n + order)
+        self.keys, self.entry = np.insert(self.keys, at, keys[order]), np.insert(self.entry, at, (n + order).astype(np.int32))
 
     def _ids_of(self, words: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some chunks one after the other, and how many each has."""
@@ -308,7 +319,7 @@ class Encoder:
         base = self._find(_key(hashes, np.full(len(hashes), -1)))
         apart = ended & self.letters[base]
         if apart.any():
-            size = self.sizes[base[apart]]
+            size = self.sizes[base[apart]].astype(np.int64)
             out = np.empty(int(size.sum()) + len(size), np.uint32)
             last = np.zeros(len(out), bool)
             last[np.cumsum(size + 1) - 1] = True
@@ -328,7 +339,8 @@ class Encoder:
         tails = np.where(sizes > 1, self.tail[data[starts + sizes - 1]], -1)
         sizes = sizes - (tails >= 0)
         if self.folds:
-            known = np.concatenate(([0], np.cumsum(_LETTER[data])))
+            known = np.zeros(len(data) + 1, np.int32)
+            np.cumsum(_LETTER[data], out=known[1:])
             latin = known[starts + sizes] - known[starts] == sizes
             up, down = np.zeros(len(data) + 1, np.int8), np.zeros(len(data) + 1, np.int8)
             up[starts], down[starts + sizes] = latin, latin
@@ -338,18 +350,36 @@ class Encoder:
         at = self._find(keys)
         new = at < 0
         if new.any():
-            if len(self.keys) + 2 * int(new.sum()) > self.kept:
+            if len(self.keys) + 2 * int(new.sum()) > self.kept or self.filled > 4 * self.kept:
                 self._anew()
                 new[:] = True
             some = first[new]
             self._learn(keys[new], data, starts[some], sizes[some], hashes[some], tails[some])
             at = self._find(keys)
         at = at[which]
-        sizes = self.sizes[at]
+        sizes = self.sizes[at].astype(np.int64)
         bounds = np.concatenate(([0], np.cumsum(sizes)))[ends]
         return self.flat[np.repeat(self.starts[at], sizes) + spread(sizes)], np.diff(bounds)
 
 
+def _longer(x: np.ndarray, least: int) -> np.ndarray:
+    """x with room for at least so many values."""
+    out = np.zeros(least + least // 8, x.dtype)
+    out[: len(x)] = x
+    return out
+
+
+@functools.cache
+def _trimmer():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def _trim() -> None:
+    """Gives memory that the library and short-lived strings have freed back to the system, where the C library can."""
+    if _trimmer():
+        _trimmer()(0)
+
+
 def _key(hashes: np.ndarray, tails: np.ndarray) -> np.ndarray:
     return mix(hashes + (tails + 2).astype(U64) * U64(0x9E3779B97F4A7C15))
 
@@ -379,7 +409,8 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             column = batch.column("text").fill_null("")
             data, offsets = text_bytes(column)
-            parts = [encoder.encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in steps(offsets, 2 << 20)]
+            parts = [encoder.encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in steps(offsets, STEP)]
+            _trim()
             ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
             with_end = np.full(len(ids) + len(sizes), end, f"<u{width}")
             ends = np.cumsum(sizes + 1)

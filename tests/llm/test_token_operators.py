@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.llm import hamming, html_blocks, huffman, maxent, token_counts
-from fieldloom.llm.common import held_out
+from fieldloom.llm.common import held_out, text_bytes
 
 ODD = ["", None, " ", "  ", "\n", "a  b\n\nc  ", " hello", "\ttab é 漢<s>", "</s><unk> x", "▁x ▁", "x" + " " * 40, "漢 漢  漢", "😀  🤖", "aaaa abab", "\x00 \x00", "İ, Σς", "<|endoftext|> a", "it's THEN. Then, don't"]
 
@@ -99,6 +99,31 @@ def test_shard_round_trip():
         assert (back == ids).all() and parts.tolist() == [n]
 
 
+def test_long_shard_round_trip():
+    r = np.random.default_rng(3)
+    symbols, counts = np.arange(500), r.zipf(1.3, 500).clip(1, 10**6)
+    code = huffman.Code.of(symbols, counts)
+    for block in (16, 1_000):  # which do or do not part the slices that packing works on
+        ids = r.choice(symbols, 300_001)
+        assert (huffman.unpack(huffman.pack(ids, np.array([len(ids)]), code, block))[0] == ids).all()
+
+
+def test_store_of_chunks_takes_few_bytes():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    r = random.Random(6)
+    encode = lambda made, texts: made.encode(*text_bytes(pa.array(texts)))
+    made = huffman.Encoder(path)
+    for _ in range(10):
+        encode(made, [" ".join("".join(r.choice("bcdfghjklmnpqrstvwxyz") for _ in range(7)) for _ in range(15_000))])
+    assert len(made.keys) > 140_000 and sum(x.nbytes for x in (made.keys, made.entry, made.starts, made.sizes, made.letters, made.flat)) < 48 * len(made.keys)
+    few = huffman.Encoder(path, kept=100)
+    for k in range(40):  # long chunks: few, yet of many ids
+        text = "".join(r.choice("xyz0123") for _ in range(1_500)) + f" a{k}"
+        ids, _ = encode(few, [text])
+        assert ids.tolist() == few.tokenizer.encode(text, add_special_tokens=False).ids
+        assert few.filled <= 400 + 2 * len(ids)
+
+
 def test_scores(spark):
     texts = made_texts(200) + ["", None, " ", "new words only", "word " * 30_000]
     out = held_out(F.col("doc_id"), 7, 2)

@@ -22,6 +22,17 @@ def test_implied_ends():
     assert [count(q) for q in ("ul > li", "body > p", "dl > dt", "dl > dd", "tr", "tr > td")] == [2, 2, 2, 1, 2, 3]
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [("R&amp;D &copy; &quot;x&quot; &eacute;&#39;&#x41;", "R&D © \"x\" é'A"), ("a &amp; b &amp", "a & b &amp"), ("&quot &copy &ampx; &bogus; &am &", "&quot &copy &ampx; &bogus; &am &"), ("&amp;amp &amp;quot;", "&amp &quot;"), ("\ufdd0 &amp \ufdd1", "\ufdd0 &amp \ufdd1")],
+)
+def test_references_end_in_semicolons(html, text):
+    node = selectors.css(parse(f"<a&amp href='?a=1&amp;b=2&copy=3' x>{html}</a&amp><script>a &&amp b; &amp;</script>"), "body > *")
+    assert [n.tag for n in node] == ["a&amp", "script"]
+    assert node[0].text == text and node[0].attrs == {"href": "?a=1&b=2&copy=3", "x": ""}
+    assert node[1].text == "a &&amp b; &amp;"
+
+
 @pytest.mark.parametrize(
     ("query", "n"),
     [("li", 2), (".row", 2), ("li.row .price", 2), ("span.price.x", 1), ("span.price:not(.x)", 1), ("ul > li > h4", 2), ("h4, em", 4), ('[class="price"]', 1), ("[class^=pri]", 2), ("li:nth-child(2) h4", 1), ("h4 + em", 2), ("span ~ em", 2), ("*", 11), ("#none", 0)],

@@ -40,3 +40,17 @@ def test_query_matches_sql(spark, duck, name):
     want = [dict(zip(names, r, strict=True)) for r in cursor.fetchall()]
     assert sorted(names) == columns
     assert plain([r.asDict() for r in found.collect()], columns) == plain(want, columns)
+
+
+def test_page_queries_match_sql_on_cut_references(spark, tmp_path):
+    cut = ["A &amp; B", "A &amp; B &amp", "A &quot;B&quot", "&copy", "&am", "&ampx;", "A&amp;amp", "R&D &middot; &"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", [(i, f'<nav><a href="/?q={t}&copy=1">x</a></nav><article><h1>{t}</h1><p>y</p><div class="ad">{t}</div></article>') for i, t in enumerate(cut + cut[::-1])])
+    con.execute(f"COPY pages TO '{tmp_path}/pages.parquet'")
+    for name in ("q_html_title", "q_html_links", "q_diff_anchor"):
+        found = suite.queries()[name](spark, str(tmp_path))
+        cursor = con.execute(suite.oracle_sql()[name])
+        names = [d[0] for d in cursor.description]
+        want = plain([dict(zip(names, r, strict=True)) for r in cursor.fetchall()], names)
+        assert want and plain([r.asDict() for r in found.collect()], names) == want
